@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def words(text: Column) -> Column:
     """Words between the ASCII white space of the contracts: space and U+0009 to U+000D. Null: none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda that names an expression would compute it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

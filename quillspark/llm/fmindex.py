@@ -322,18 +322,18 @@ def hits(blocks: list[Windows], texts: list[bytes]):
     return n_words, spans, items
 
 
-def windows_of(benchmark: DataFrame, size: int, id_col: str, text_col: str, block_bytes: int) -> list:
-    """A broadcast for each block of the benchmark."""
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list:
+    """A broadcast of (item id, text) for each block of the benchmark."""
     context = benchmark.sparkSession.sparkContext
     blocks, block, held = [], [], 0
     for r in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).toLocalIterator():
         block.append((r["i"], r["t"].encode("utf-8", "surrogatepass")))
         held += len(block[-1][1])
         if held >= block_bytes:
-            blocks.append(context.broadcast(Windows(block, size)))
+            blocks.append(context.broadcast(block))
             block, held = [], 0
     if block:
-        blocks.append(context.broadcast(Windows(block, size)))
+        blocks.append(context.broadcast(block))
     return blocks
 
 
@@ -342,7 +342,7 @@ def search(
 ) -> DataFrame:
     """``df`` with ``out_col``, a struct (see ADDED): word counts, item ids found (sorted as strings), merged spans of hit words as code points, whether a text is contaminated (some word hit, and ``share`` times the hit words at least all words), and the text without its spans (null if it has none)."""
     small_batches(df.sparkSession)
-    blocks = windows_of(benchmark, window, item_id_col, item_text_col, block_bytes)
+    blocks = blocks_of(benchmark, item_id_col, item_text_col, block_bytes)
     at = df.columns.index(text_col)
     kind = T.StructType([*df.schema.fields, T.StructField(out_col, ADDED)])
 
@@ -351,9 +351,10 @@ def search(
         from pyspark.sql.pandas.types import to_arrow_type
 
         found_type = to_arrow_type(ADDED)
+        sets = [Windows(x.value, window) for x in blocks]
         for b in batches:
             texts = [(x or "").encode("utf-8", "surrogatepass") for x in b.column(at).to_pylist()]
-            n_words, spans, items = hits([x.value for x in blocks], texts)
+            n_words, spans, items = hits(sets, texts)
             rows = []
             for i, t in enumerate(texts):
                 n, own = int(n_words[i]), spans.get(i, ())

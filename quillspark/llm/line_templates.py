@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import let
+
 #: Fixed value: white space between tokens.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -42,7 +44,7 @@ def dropped_lines(texts: DataFrame, lead: int, min_docs: int, constant: float, m
     paths = texts.select("k1", "k2", F.explode(path).alias("p")).select("k1", "k2", "p.i", "p.leaf")
     leaves = paths.select("leaf", "k1", "k2").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     asked = paths.join(leaves, "leaf").groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "leaf")).alias("asked"))
-    rows = texts.join(asked, ["k1", "k2"]).select("k1", "k2", "first", F.explode(F.transform("asked", lambda a: F.struct(a["i"].alias("i"), a["leaf"].alias("leaf"), F.array_join(tokens_of(F.element_at(lines, a["i"] + 1)), " ").alias("line")))).alias("r"))
+    rows = texts.join(asked, ["k1", "k2"]).select("k1", "k2", "first", F.explode(let(lines, lambda all_lines: F.transform("asked", lambda a: F.struct(a["i"].alias("i"), a["leaf"].alias("leaf"), F.array_join(tokens_of(F.get(all_lines, a["i"])), " ").alias("line"))))).alias("r"))
     rows = rows.select("k1", "k2", "first", "r.i", "r.leaf", "r.line")
     forms = rows.select("leaf", "line", "k1", "k2").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
     spread = forms.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))

@@ -368,15 +368,17 @@ def spans_of(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int,
 def find(df: DataFrame, text_col: str = "text", out_col: str = "personal", seed: int = 7) -> DataFrame:
     """``df`` with ``out_col``: an array of (kind, start, end, base), by kind, then start."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(tagger(seed))
+    shared = df.sparkSession.sparkContext.broadcast(tagger(seed).p)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
+        model = Tagger(seed)
+        model.p = shared.value
         for b in batches:
-            found = spans_of(shared.value, [x or "" for x in b.column(at).to_pylist()])
+            found = spans_of(model, [x or "" for x in b.column(at).to_pylist()])
             rows = [[{"kind": k, "start": s, "end": e, "base": base} for k, s, e, base in f] for f in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, to_arrow_type(SPANS))], names=[*b.schema.names, out_col])
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import words
+from quillspark.llm.common import let, words
 
 BUCKETS = 10_000
 TRUSTED = 20_000
@@ -31,8 +31,13 @@ WINDOW = 5
 
 def ngram_buckets(hashes: Column, buckets: int) -> Column:
     """Buckets of the words and of the pairs of neighbours, from the words' hashes."""
-    pairs = F.transform(hashes, lambda h, i: F.when(i + 1 < F.size(hashes), F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(buckets)).cast("int")))
-    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int")), F.slice(pairs, 1, F.greatest(F.size(hashes) - 1, F.lit(0))))
+    bucket = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+
+    def both(h: Column) -> Column:
+        pairs = F.transform(F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda x, i: bucket(F.xxhash64(F.get(h, i), x)))
+        return F.concat(F.transform(h, bucket), pairs)
+
+    return let(hashes, both)
 
 
 def weights(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, trusted: int = TRUSTED, smoothing: float = SMOOTHING) -> list[float]:
@@ -53,20 +58,25 @@ def weights(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def repeat_words(hashes: Column) -> Column:
     """Words inside windows of five words that occur twice or more in a text, from the words' hashes."""
-    n = F.size(hashes) - (WINDOW - 1)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    gram = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])
-    grams = F.transform(starts, gram)
-    order = F.array_sort(F.transform(starts, lambda i: F.struct(gram(i).alias("h"), i.alias("i"))))
-    again = F.array_sort(F.transform(_neighbours(order), lambda x: x["i"]))
-    covered = F.aggregate(F.transform(again, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(again, k + 1) - i, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
-    return F.when(F.size(F.array_distinct(grams)) < F.size(grams), covered).otherwise(0).cast("long")
-
-
-def _neighbours(order: Column) -> Column:
-    """Members of a sorted array of (h, i) whose h is also their neighbour's."""
-    same = lambda x, k: F.coalesce(F.get(order, k + 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(order, k - 1)["h"] == x["h"], F.lit(False))
-    return F.filter(order, same)
+    none = F.array().cast("array<int>")
+
+    def of(h: Column) -> Column:
+        last = F.size(h) - WINDOW
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(none)
+        return let(F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])), covered)
+
+    def covered(grams: Column) -> Column:
+        """Most texts repeat nothing, which a hash set tells; the others sort their windows."""
+        order = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("h"), i.alias("i"))))
+        again = let(order, lambda o: F.array_sort(F.transform(F.filter(o, lambda x, k: _same(o, k + 1, x) | ((k > 0) & _same(o, k - 1, x))), lambda x: x["i"])))
+        words = let(again, lambda a: F.aggregate(F.transform(a, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(a, k + 1) - i, F.lit(WINDOW)))), F.lit(0), lambda n, x: n + x))
+        return F.when(F.size(F.array_distinct(grams)) < F.size(grams), words).otherwise(0).cast("long")
+
+    return let(hashes, of)
+
+
+def _same(order: Column, k: Column, x: Column) -> Column:
+    return F.coalesce(F.get(order, k)["h"] == x["h"], F.lit(False))
 
 
 def with_rules(df: DataFrame, model: list[float], text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD, out_col: str = "rules") -> DataFrame:

@@ -72,7 +72,10 @@ def _spelled(spans: Column) -> Column:
 
 
 def _counted(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
-    return [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    def of(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [of(k) for k in kinds]
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import let
+
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns. Key characters beyond the least length are asked for where a shorter match would be a whole run (access, hex).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,30 +41,35 @@ local lock logger login loop main manager""".split()
 
 def places(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, own>> of a pattern's matches, ``own`` being a group of the match. Running lengths are added up in blocks of 64, so that many matches cost little."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    between = F.split(text, pattern, -1)
-    gaps = F.transform(found, lambda m, i: F.length(F.get(between, i)))
-    sizes = F.transform(found, lambda m: F.length(m))
+    extract = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    steps = F.transform(F.arrays_zip(gaps.alias("g"), sizes.alias("s")), lambda x: x["g"] + x["s"])
-    n_blocks = F.ceil(F.size(found) / 64).cast("int")
-    blocks = F.when(n_blocks > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: total(F.slice(steps, b * 64 + 1, F.lit(64))))).otherwise(F.array().cast("array<int>"))
-    end = lambda i: total(F.slice(blocks, F.lit(1), F.floor(i / 64).cast("int"))) + total(F.slice(steps, F.floor(i / 64).cast("int") * 64 + 1, i % 64 + 1))
-    spans = F.transform(F.arrays_zip(sizes.alias("s"), own.alias("o")), lambda x, i: F.struct((end(i) - x["s"]).alias("start"), end(i).alias("end"), x["o"].alias("own")))
-    none = F.array().cast("array<struct<start:int,end:int,own:string>>")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    nothing = F.array().cast("array<int>")
+    matches = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), extract(0).alias("all"), extract(group).alias("own"))  # one more gap than matches
 
+    def spans(zipped: Column) -> Column:
+        steps = F.transform(zipped, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["all"]), F.lit(0)))
+        return let(steps, lambda s: let(_blocks(s), lambda b: F.transform(zipped, lambda x, i: ended(s, b, x, i))))
 
-def _pairs(text: Column) -> Column:
-    """Cells of a string's neighbouring characters in a chain's table; a character that the alphabet lacks counts as the last one."""
-    codes = _codes(F.split(text, ""))
-    return F.transform(F.slice(codes, 2, F.size(codes)), lambda c, i: F.get(codes, i) * len(ALPHABET) + c)
+    def _blocks(steps: Column) -> Column:
+        last = F.ceil(F.size(steps) / 64).cast("int") - 1
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(steps, b * 64 + 1, F.lit(64))))).otherwise(nothing)
 
+    def ended(steps: Column, blocks: Column, x: Column, i: Column) -> Column:
+        block = F.floor(i / 64).cast("int")
+        end = total(F.slice(blocks, F.lit(1), block)) + total(F.slice(steps, block * 64 + 1, i % 64 + 1))
+        return F.struct((end - F.length(x["all"])).alias("start"), end.alias("end"), x["own"].alias("own"))
 
-def _codes(letters: Column) -> Column:
-    table = F.from_json(F.lit(json.dumps([ALPHABET.find(chr(c)) if chr(c) in ALPHABET else len(ALPHABET) - 1 for c in range(128)])), "array<int>")
-    return F.transform(F.filter(letters, lambda c: c != ""), lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit(len(ALPHABET) - 1)))
+    none = F.array().cast("array<struct<start:int,end:int,own:string>>")
+    found = F.filter(let(matches, spans), lambda x: x["start"].isNotNull())
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def _pairs(text: Column) -> Column:
+    """Cells of a string's neighbouring characters in a chain's table; a character that the alphabet lacks counts as its last one."""
+    known = [max(ALPHABET.find(chr(c)), -1) % len(ALPHABET) for c in range(128)]
+    table = F.from_json(F.lit(json.dumps(known)), "array<int>")
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit(len(ALPHABET) - 1)))
+    return let(codes, lambda k: F.transform(F.slice(k, 2, F.greatest(F.size(k), F.lit(1))), lambda c, i: F.get(k, i) * len(ALPHABET) + c))
 
 
 def samples(spark: SparkSession, n: int = SAMPLES, first: int = 0) -> DataFrame:
