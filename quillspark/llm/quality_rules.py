@@ -24,7 +24,7 @@ from quillspark.llm.common import let, words
 BUCKETS = 10_000
 TRUSTED = 20_000
 #: Mean log ratio below which a document is rejected.
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 SMOOTHING = 1.0
 WINDOW = 5
 
