@@ -21,9 +21,15 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from quillspark.plans import catalog, fixtures  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
