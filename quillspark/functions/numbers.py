@@ -9,6 +9,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Digits and units of Chinese numerals.
 DIGITS = {"零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -50,7 +51,7 @@ def numeral(text: str | None) -> int | None:
     return total + (digit or 0)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def numerals(texts: pd.Series) -> pd.Series:
     return texts.map(numeral).astype("Int64")
 

@@ -10,6 +10,7 @@ import xml.etree.ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.text import free_of_sentence_end, one_left_bracket, unescape
 from quillspark.operators import spans
@@ -25,7 +26,7 @@ DEPENDS_ON = {
 ALONE = ("LINK", "CASE_NO", "LAW_ABBR", "LAW_SELF", "LAW_TITLE")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _well_formed(texts: pd.Series) -> pd.Series:
     def good(t: str) -> bool:
         try:

@@ -116,7 +116,6 @@ def _reach(order: str) -> str:
 
 
 def _direct(order: str, longest: bool) -> str:
-
     ks, ke, ko = ('CASE WHEN s.start >= c.ke OR s."end" - s.start > c.ke - c.ks THEN {} ELSE {} END' if longest else "CASE WHEN s.start >= c.ke THEN {} ELSE {} END",) * 3
     ks, ke, ko = ks.format("s.start", "c.ks"), ke.format('s."end"', "c.ke"), ko.format("s.ord", "c.ko")
     grp = "CASE WHEN s.start >= c.ke THEN c.g + 1 ELSE c.g END"

@@ -35,7 +35,7 @@ class PagedReader(DataSourceReader):
                     break
 
 
-def paged_source(name: str, schema: T.StructType, fetch: Callable[[object, object], tuple[Iterable[dict], object]], keys: list, per_partition: int = 1) -> type[DataSource]:
+def paged_source(name: str, shape: T.StructType, fetch: Callable[[object, object], tuple[Iterable[dict], object]], keys: list, per_partition: int = 1) -> type[DataSource]:
     """A batch source over a paginated store: ``fetch(key, token)`` gives (rows, next token or None). Keys are dealt to partitions; each pages lazily."""
 
     class Source(DataSource):
@@ -44,10 +44,10 @@ def paged_source(name: str, schema: T.StructType, fetch: Callable[[object, objec
             return name
 
         def schema(self) -> T.StructType:
-            return schema
+            return shape
 
-        def reader(self, _schema: T.StructType) -> PagedReader:
-            return PagedReader(schema, fetch, list(keys), per_partition)
+        def reader(self, schema: T.StructType) -> PagedReader:
+            return PagedReader(shape, fetch, list(keys), per_partition)
 
     return Source
 
