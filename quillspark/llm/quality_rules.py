@@ -87,7 +87,7 @@ def with_rules(df: DataFrame, model: list[float], text_col: str = "text", bucket
     step = df.withColumn("_w", words(text))
     step = step.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_l", lines)
     step = step.withColumn("_n", F.size("_w").cast("long")).withColumn("_r", repeat_words(F.col("_h"))).withColumn("_b", ngram_buckets(F.col("_h"), buckets))
-    step = step.withColumn("_s", F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size("_b"))
+    step = step.withColumn("_s", F.when(F.size("_b") > 0, F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size("_b")))
     failed = (F.col("_n") < 10) | (100 * F.col("_r") > 20 * F.col("_n"))
     rules = F.struct(
         F.col("_n").alias("n_words"),
@@ -96,7 +96,7 @@ def with_rules(df: DataFrame, model: list[float], text_col: str = "text", bucket
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.col("_r").alias("n_repeat_words"),
         failed.alias("base_failed"),
-        F.when(F.size("_b") > 0, F.col("_s")).alias("score"),
+        F.col("_s").alias("score"),
         (~failed & (F.coalesce("_s", F.lit(0.0)) >= threshold)).alias("kept"),
     )
     return step.withColumn(out_col, rules).drop("_w", "_h", "_l", "_n", "_r", "_b", "_s")
