@@ -66,7 +66,9 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = [c for c in df.columns if c != text_col]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).isNull().alias("none"), *keys_of(F.coalesce(F.col(text_col), F.lit(""))))
     texts = df.select(*keys_of(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
-    texts = texts.groupBy("k1", "k2").agg(F.max("text").alias("text"), F.min("id").alias("first"))
+    # one aggregate: every use of the texts has the same exchange, so Spark shuffles them once
+    texts = texts.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text")).alias("m"))
+    texts = texts.select("k1", "k2", F.col("m.text").alias("text"), F.col("m.id").alias("first"))
     places = dropped_lines(texts, lead, min_docs, constant, min_tokens)
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("places", i)), "\n")
