@@ -103,19 +103,10 @@ def keywords(words: Iterable[str], ignore_overlaps: bool = False) -> Extractor:
     words = [w for w in dict.fromkeys(words) if w]
     if not words:
         raise ValueError("no keywords")
-    automaton = Automaton(words)
-
-    def extract(text: str) -> list[Span]:
-        found = automaton.spans(text)
-        if not ignore_overlaps:
-            return found
-        kept: list[Span] = []
-        for s in sorted(found, key=lambda s: (s.start, -s.end)):
-            if not kept or s.start >= kept[-1].end:
-                kept.append(s)
-        return kept
-
-    return extract
+    if ignore_overlaps:
+        longest_first = re.compile("|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))))
+        return lambda text: [Span(m[0], *m.span()) for m in longest_first.finditer(text)]
+    return Automaton(words).spans
 
 
 def pattern(patterns: str | Sequence[str], group: int = 0, stop_on_first: bool = False) -> Extractor:
@@ -276,11 +267,14 @@ def articles(text: str) -> list[Entity]:
 _STATIC = {w: kind for kind, words in KEYWORDS.items() for w in words.split()} | dict.fromkeys(ABBREVIATIONS, "LAW_ABBR") | dict.fromkeys(PROMULGATORS, "PROMULGATOR")
 
 
+_static = keywords(_STATIC, ignore_overlaps=True)
+
+
 def _keyword_entities(text: str, definitions: list[Span]) -> list[Entity]:
     """Keywords with their types. A document's own abbreviations count from their (last) definition on; EXCLUDED phrases only use up text."""
     own = {d.text: d for d in definitions}
     found = []
-    for s in keywords([*_STATIC, *own], ignore_overlaps=True)(text):
+    for s in (keywords([*_STATIC, *own], ignore_overlaps=True) if own else _static)(text):
         d = own.get(s.text)
         kind = "LAW_DYNAMIC_ABBR" if d else _STATIC[s.text]
         if kind == "EXCLUDED" or (d and s.start < d.start):
