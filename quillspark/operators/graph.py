@@ -8,6 +8,8 @@ from collections.abc import Hashable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import cut
+
 
 class Graph:
     """A directed graph of driver-side tasks; vertices and edges keep their order and count once."""
@@ -83,12 +85,12 @@ def levels(vertices: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame
     out = None
     for level in range(most):
         layer = left.join(todo.select(F.col("dst").alias("vertex")).distinct(), "vertex", "left_anti")
-        layer = layer.withColumn("level", F.lit(level)).checkpoint()
+        layer = cut(layer.withColumn("level", F.lit(level)))
         if layer.isEmpty():
             break
         out = layer if out is None else out.unionByName(layer)
-        left = left.join(layer, "vertex", "left_anti").checkpoint()
-        todo = todo.join(layer.select(F.col("vertex").alias("src")), "src", "left_anti").checkpoint()
+        left = cut(left.join(layer, "vertex", "left_anti"))
+        todo = cut(todo.join(layer.select(F.col("vertex").alias("src")), "src", "left_anti"))
     if not left.isEmpty():
         raise ValueError("the graph has a cycle")
     return out if out is not None else vertices.select("vertex", F.lit(0).alias("level"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from quillspark.functions.dates import date_keys
 from quillspark.operators import titles
 from quillspark.operators.extract import ABBREVIATIONS, PROMULGATORS
+from quillspark.session import cut
 
 COUNTRY = "全国"
 COMMON_PREFIXES = ("中华人民共和国",)
@@ -120,6 +121,8 @@ def search(queries: DataFrame, docs: DataFrame, fuzzy_dates: bool = False) -> Da
     strict_nested = titles.TitleTokenizer(promulgators, strict=True, nested=True)
     q = q.withColumn("span", titles.tokens(F.col("text"), lambda t: (lambda s: s.outer or s)(strict_nested(t)))).withColumn("is_nested", titles.tokens(F.col("text"), strict_nested)["nested"])
 
+    q = cut(q)  # tokens are used many times below, and so are postings
+
     live = docs.where(F.contains("doc_type", F.lit("Legislation")) & (F.col("status") == 1))
     pairs = q.select("query_id", "core_term", "is_nested", F.col("span")["core_term"].alias("span_core"), F.col("cur_doc_type").alias("cur_doc_type"), "cur_release_date").join(live, "core_term")
     pairs = pairs.withColumnsRenamed({"cur_release_date": "own_release_date", "cur_doc_type": "own_doc_type"}).where(valid_candidate("", "own_"))
@@ -141,7 +144,7 @@ def search(queries: DataFrame, docs: DataFrame, fuzzy_dates: bool = False) -> Da
         return pd.DataFrame(rows, columns=titles.TOKENS.names)
 
     pairs = pairs.withColumn("tokens", document_tokens("title", "doc_type", "effective_scope", "promulgators", "is_nested")).where(F.col("tokens")["core_term"] == F.col("span_core"))
-    index = postings(pairs.select("query_id", "doc_id", "tokens", "release_date", "effective_date", "version", "promulgators", "effective_scope"))
+    index = cut(postings(pairs.select("query_id", "doc_id", "tokens", "release_date", "effective_date", "version", "promulgators", "effective_scope")))
 
     texts = lambda c: F.transform(F.col("span")[c], lambda s: s["text"])
     attr = lambda n: F.coalesce(F.try_element_at("attrs", F.lit(n)), F.array().cast("array<string>"))
@@ -152,11 +155,11 @@ def search(queries: DataFrame, docs: DataFrame, fuzzy_dates: bool = False) -> Da
     bare = q.where(F.size("prefixes") == 0)
     empty = bare.select("query_id", F.col("core").alias("key")).join(index.where("index_name = 'empty_prefix'"), ["query_id", "key"]).select("query_id", "doc_id")
     common = bare.select("query_id").join(index.where((F.col("index_name") == "prefix") & F.col("key").isin(*COMMON_PREFIXES)), "query_id").select("query_id", "doc_id")
-    first = empty.union(common).union(_all_within(bare.where(F.size("names") > 0), index, "promulgator", "names")).distinct()
+    first = cut(empty.union(common).union(_all_within(bare.where(F.size("names") > 0), index, "promulgator", "names")).distinct())
     country = index.where((F.col("index_name") == "scope") & (F.col("key") == COUNTRY)).select("query_id", "doc_id")
     about = index.where((F.col("index_name") == "prefix") & (F.col("key") == titles.ABOUT)).select("query_id", "doc_id")
     second = bare.select("query_id").join(first.select("query_id").distinct(), "query_id", "left_anti").join(country.intersect(about), "query_id")
-    found = with_prefix.union(first).union(second).distinct()
+    found = cut(with_prefix.union(first).union(second).distinct())
 
     asked = q.where(F.size("suffixes") > 0)
     found = found.join(asked.select("query_id"), "query_id", "left_anti").union(found.join(_all_within(asked, index, "suffix", "suffixes"), ["query_id", "doc_id"], "left_semi"))

@@ -179,10 +179,6 @@ def xml_values(spark: SparkSession, d: str) -> DataFrame:
 
 @register("topo_level", "WITH RECURSIVE e AS (SELECT * FROM (VALUES ('a','c'), ('b','c'), ('c','d')) t(src, dst)), l(vertex, level) AS (SELECT v, 0 FROM (VALUES ('a'), ('b')) t(v) UNION ALL SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.vertex) SELECT vertex, MAX(level) AS level FROM l GROUP BY vertex")
 def topo_level(spark: SparkSession, d: str) -> DataFrame:
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     edges = spark.createDataFrame([("a", "c"), ("b", "c"), ("c", "d")], "src string, dst string")
     return graph.levels(spark.createDataFrame([(v,) for v in "abcd"], "vertex string"), edges)
 

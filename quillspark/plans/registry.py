@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quillspark.plans import catalog, fixtures  # noqa: F401  they register themselves
+    from quillspark.plans import catalog, fixtures, fixtures_more  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:
