@@ -26,7 +26,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def tokens_of(line: Column) -> Column:
     """Tokens of a line, those with a digit generalised."""
-    return F.array_remove(F.split(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>"), SPACE), "")
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(line)
+    return F.array_remove(F.split(masked, SPACE), "")
 
 
 def keys_of(text: Column) -> list[Column]:
