@@ -297,7 +297,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
             rows = pa.array(text)
             yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(rows), b.column(1).take(rows), pa.array(at.astype("int32"))], names=["h", "k1", "k2", "at"])
 
-    found = texts.select("k1", "k2", "text").mapInArrow(anchors, "h long, k1 long, k2 int, at int")
+    # all columns of the texts here and below: one exchange then serves every use
+    found = texts.select("k1", "k2", "text", "copies").mapInArrow(anchors, "h long, k1 long, k2 int, at int")
     shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     places = found.join(shared, "h").groupBy("k1", "k2").agg(F.collect_list("at").alias("places"), F.collect_list("h").alias("hashes"))
     buckets = shuffle_partitions(spark)
@@ -316,7 +317,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "run"])
 
         for b in batches:
-            for k1, k2, text, places, hashes in zip(*(c.to_pylist() for c in b.columns)):
+            for k1, k2, text, places, hashes in zip(*(c.to_pylist() for c in b.columns[:5])):
                 text = text.encode("utf-8", "surrogatepass")
                 for at, h in zip(places, hashes):
                     left = text[max(0, at - (length - anchor)) : at][::-1]
@@ -328,7 +329,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
         if n:
             yield send()
 
-    sent = texts.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places", "hashes").mapInArrow(runs, "bucket int, run binary")
+    sent = texts.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places", "hashes", "copies").mapInArrow(runs, "bucket int, run binary")
 
     def merged(pdf):
         import struct
