@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import cut
+
 BLOCK = 1024
 
 
@@ -22,6 +24,7 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
     """A row for each occurring length L: n_docs, docs_at_least (length >= L), tokens_at_least (their tokens), docs_up_to and tokens_up_to (length <= L), total_docs, total_tokens, truncated_tokens (all documents cut to L) and cut_tokens (what that loses)."""
+    histogram = cut(histogram)  # read twice below; the encoding behind it runs once
     rows = histogram.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     down = Window.orderBy(F.col("block").desc())
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
