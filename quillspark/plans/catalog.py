@@ -106,9 +106,13 @@ def range_join(spark: SparkSession, d: str) -> DataFrame:
 _SPANS = "(SELECT user_id, event_id AS ord, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value * 20) AS BIGINT) AS \"end\" FROM events WHERE user_id < 200)"
 
 
-def _spans(spark: SparkSession, d: str) -> DataFrame:
+def _all_spans(spark: SparkSession, d: str) -> DataFrame:
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    return table(spark, d, "events").where("user_id < 200").select("user_id", F.col("event_id").alias("ord"), at.alias("start"), (at + F.floor(F.col("value") * 20)).alias("end"))
+    return table(spark, d, "events").select("user_id", F.col("event_id").alias("ord"), at.alias("start"), (at + F.floor(F.col("value") * 20)).alias("end"))
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return _all_spans(spark, d).where("user_id < 200")
 
 
 def _reach(order: str) -> str:
@@ -135,6 +139,7 @@ for _name, _strategy, _is_direct, _sql in (
     ("overlap_earliest_longest_direct", "earliest_longest", True, _direct('start, "end" DESC, ord', False)),
 ):
     register(_name, _sql)(lambda s, d, k=_strategy, b=_is_direct: spans.resolve(_spans(s, d), ["user_id"], k, b).select("user_id", "ord"))
+    register(f"{_name}_all", _sql.replace(" WHERE user_id < 200", ""))(lambda s, d, k=_strategy, b=_is_direct: spans.resolve(_all_spans(s, d), ["user_id"], k, b).select("user_id", "ord"))
 
 
 @register("sla_window", "WITH w AS (SELECT date_trunc('hour', MAX(ts) - INTERVAL 90 MINUTE) AS hi FROM events) SELECT event_type, COUNT(*) AS n FROM events, w WHERE ts >= hi - INTERVAL 6 HOUR AND ts < hi GROUP BY event_type")
@@ -164,13 +169,25 @@ def tumbling_hourly(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total")
 
 
-@register("session_windows", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id < 300),
-s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, MIN(ts) AS window_start, MAX(ts) + INTERVAL 30 MINUTE AS window_end, COUNT(*) AS n FROM s GROUP BY user_id, k""")
-def session_windows(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("user_id < 300").groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+_SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id < 300),
+s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, MIN(ts) AS window_start, MAX(ts) + INTERVAL 30 MINUTE AS window_end, COUNT(*) AS n FROM s GROUP BY user_id, k"""
+
+
+def _sessions(e: DataFrame) -> DataFrame:
+    e = e.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return e.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n")
 
 
+@register("session_windows", _SESSIONS)
+def session_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _sessions(table(spark, d, "events").where("user_id < 300"))
+
+
+@register("session_windows_all", _SESSIONS.replace(" WHERE user_id < 300", ""))
+def session_windows_all(spark: SparkSession, d: str) -> DataFrame:
+    return _sessions(table(spark, d, "events"))
+
+
 @register("stats", "SELECT l_returnflag, ROUND(AVG(l_quantity), 6) AS avg_q, MEDIAN(l_quantity) AS median_q, MIN(l_quantity) AS min_q, MAX(l_quantity) AS max_q, ROUND(COALESCE(STDDEV_SAMP(l_quantity), 0), 6) AS sd_q FROM lineitem GROUP BY l_returnflag")
 def stats(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("l_quantity")
@@ -188,12 +205,24 @@ def invert_map(spark: SparkSession, d: str) -> DataFrame:
     return coll.invert_map(maps, "m").select("v", F.array_join("keys", ",").alias("keys"))
 
 
-@register("attribute_sets", "SELECT user_id, event_type, array_to_string(list_sort(list(DISTINCT CAST(floor(value) AS BIGINT))), ',') AS vals FROM events WHERE user_id < 50 GROUP BY user_id, event_type")
-def attribute_sets(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("user_id < 50").withColumn("v", F.floor("value"))
+_ATTRIBUTES = "SELECT user_id, event_type, array_to_string(list_sort(list(DISTINCT CAST(floor(value) AS BIGINT))), ',') AS vals FROM events WHERE user_id < 50 GROUP BY user_id, event_type"
+
+
+def _attributes(e: DataFrame) -> DataFrame:
+    e = e.withColumn("v", F.floor("value"))
     return coll.attribute_sets(e, ["user_id"], "event_type", "v").select("user_id", F.explode("attrs").alias("event_type", "vals")).select("user_id", "event_type", F.array_join(F.col("vals").cast("array<string>"), ",").alias("vals"))
 
 
+@register("attribute_sets", _ATTRIBUTES)
+def attribute_sets(spark: SparkSession, d: str) -> DataFrame:
+    return _attributes(table(spark, d, "events").where("user_id < 50"))
+
+
+@register("attribute_sets_all", _ATTRIBUTES.replace(" WHERE user_id < 50", ""))
+def attribute_sets_all(spark: SparkSession, d: str) -> DataFrame:
+    return _attributes(table(spark, d, "events"))
+
+
 def _index(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     entries = F.array(F.struct(F.lit("tag").alias("n"), F.col("lang").alias("k")), F.struct(F.lit("tag").alias("n"), F.col("source").alias("k")))
@@ -279,6 +308,11 @@ def sentence_free(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.free_of_sentence_end(F.col("text"), F.lit(10), F.lit(50)).alias("free"))
 
 
+@register("sentence_free_all", "SELECT doc_id, NOT regexp_matches(text, '[?!.。？！]') AS free FROM documents")
+def sentence_free_all(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.free_of_sentence_end(F.col("text"), F.lit(0), F.length("text")).alias("free"))
+
+
 @register("regex_spans", """WITH m AS (SELECT doc_id, regexp_extract_all(text, '[0-9]{4}') AS ms, regexp_split_to_array(text, '[0-9]{4}') AS ps FROM documents),
 u AS (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, ms, ps FROM m WHERE len(ms) > 0)
 SELECT doc_id, ms[i] AS span, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + 4 * (i - 1) AS BIGINT) AS start FROM u""")

@@ -200,7 +200,16 @@ SELECT user_id, event_id, admitted FROM c"""
 
 @register("token_bucket", _BUCKET)
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("user_id < 60").select("user_id", "event_id", F.date_trunc("second", "ts").cast("timestamp").alias("ts"))
+    return _buckets(table(spark, d, "events").where("user_id < 60"))
+
+
+@register("token_bucket_all", _BUCKET.replace(" WHERE user_id < 60", ""))
+def token_bucket_all(spark: SparkSession, d: str) -> DataFrame:
+    return _buckets(table(spark, d, "events"))
+
+
+def _buckets(events: DataFrame) -> DataFrame:
+    e = events.select("user_id", "event_id", F.date_trunc("second", "ts").cast("timestamp").alias("ts"))
     return limits.limit(e, "user_id", "ts", "event_id", capacity=2, rate=1, interval=3600.0).select("user_id", "event_id", "admitted")
 
 
