@@ -6,7 +6,9 @@ tokens are variable fields and become ``<*>``. The template so made recurs if ``
 and at least ``constant`` of its tokens are constant. Lines of recurring templates are dropped, but for those of the template's first text (smallest id), so that nothing is lost altogether.
 Equal texts are one text and share one decision: copies are left to near-dedup.
 
-Lines of fewer than ``min_tokens`` tokens are below the tree's depth and stay. Null text stays null, empty text empty; a text that loses all its lines
+Lines of fewer than ``min_tokens`` tokens have no variable fields: they recur only token for token, digits as they are, in ``min_copies`` different
+texts. Longer lines that do so recur too, whatever their template. In scripts without spaces a character counts as a token for ``min_units``; only lines of a single word
+(fewer than ``min_units``) stay. Null text stays null, empty text empty; a text that loses all its lines
 is empty. Null ids come last as first texts. Repeated rows each come back. Lines are split at ``\\n`` and joined by it.
 
 Texts are shuffled once, by their hash. Hashes (64 and 32 bits of xxHash and Murmur) stand for whole texts; templates are compared as
@@ -22,6 +24,8 @@ from quillspark.llm.common import let
 
 #: Fixed value: white space between tokens.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Characters of scripts that put no spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def tokens_of(line: Column) -> Column:
@@ -34,7 +38,28 @@ def keys_of(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.hash(text).alias("k2")]
 
 
-def dropped_lines(texts: DataFrame, lead: int, min_docs: int, constant: float, min_tokens: int) -> DataFrame:
+def units_of(tokens: Column) -> Column:
+    """Tokens of a line, in scripts without spaces between words its characters."""
+    return F.size(tokens) + F.greatest(F.regexp_count(F.array_join(tokens, ""), F.lit(UNSPACED)) - 1, F.lit(0))
+
+
+def verbatim_lines(texts: DataFrame, min_copies: int, min_units: int) -> DataFrame:
+    """(k1, k2, i): places of lines that texts (k1, k2, text, first) before theirs have token for token."""
+    tokens = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.array_remove(F.split(x, SPACE), "").alias("t")))
+    long = F.transform(F.filter(tokens, lambda x: units_of(x["t"]) >= min_units), lambda x: F.struct(x["i"].alias("i"), let(F.array_join(x["t"], " "), lambda line: F.struct(F.xxhash64(line).alias("l1"), F.hash(line).alias("l2"))).alias("l")))
+    lines = texts.select("k1", "k2", "first", F.explode(long).alias("r")).select("k1", "k2", "first", "r.i", "r.l.l1", "r.l.l2")
+    holders = lines.groupBy("l1", "l2", "k1", "k2").agg(F.first("first").alias("first"))  # a text has one
+    recurring = holders.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("n"), F.min(rank()).alias("o")).where(F.col("n") >= min_copies)
+    recurring = recurring.select("l1", "l2", F.col("o.k1").alias("o1"), F.col("o.k2").alias("o2"))
+    return lines.join(recurring, ["l1", "l2"]).where("k1 <> o1 or k2 <> o2").select("k1", "k2", "i")
+
+
+def rank() -> Column:
+    """Order of texts: null ids come last."""
+    return F.struct(F.col("first").isNull().alias("none"), "first", "k1", "k2")
+
+
+def dropped_lines(texts: DataFrame, lead: int, min_docs: int, constant: float, min_tokens: int, min_copies: int, min_units: int) -> DataFrame:
     """(k1, k2, places: indexes of dropped lines) of texts (k1, k2, text, first)."""
     lines = F.split("text", "\n", -1)
     deep = F.filter(
@@ -55,14 +80,14 @@ def dropped_lines(texts: DataFrame, lead: int, min_docs: int, constant: float, m
     templates = marked.where(share >= constant).select("leaf", "line", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("template"))
     used = rows.join(templates, ["leaf", "line"]).select("leaf", "template", "k1", "k2", "first", "i")
     holders = used.groupBy("leaf", "template", "k1", "k2").agg(F.min("first").alias("first"))
-    order = F.struct(F.col("first").isNull().alias("none"), "first", "k1", "k2")
-    recurring = holders.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o")).where(F.col("n") >= min_docs)
+    recurring = holders.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(rank()).alias("o")).where(F.col("n") >= min_docs)
     recurring = recurring.select("leaf", "template", F.col("o.k1").alias("o1"), F.col("o.k2").alias("o2"))
-    lost = used.join(recurring, ["leaf", "template"]).where("k1 <> o1 or k2 <> o2")
-    return lost.groupBy("k1", "k2").agg(F.collect_list("i").alias("places"))
+    lost = used.join(recurring, ["leaf", "template"]).where("k1 <> o1 or k2 <> o2").select("k1", "k2", "i")
+    lost = lost.union(verbatim_lines(texts, min_copies, min_units))
+    return lost.groupBy("k1", "k2").agg(F.collect_set("i").alias("places"))
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = 3, min_docs: int = 3, constant: float = 0.7, min_tokens: int = 6, out_col: str = "line_dedup") -> DataFrame:
+def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = 3, min_docs: int = 3, constant: float = 0.7, min_tokens: int = 6, min_copies: int = 3, min_units: int = 2, out_col: str = "line_dedup") -> DataFrame:
     """``df`` with ``out_col``: struct<n_lines: long, n_dropped: long, text: string>, the text without its recurring lines."""
     kept = [c for c in df.columns if c != text_col]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).isNull().alias("none"), *keys_of(F.coalesce(F.col(text_col), F.lit(""))))
@@ -70,7 +95,7 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     # one aggregate: every use of the texts has the same exchange, so Spark shuffles them once
     texts = texts.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text")).alias("m"))
     texts = texts.select("k1", "k2", F.col("m.text").alias("text"), F.col("m.id").alias("first"))
-    places = dropped_lines(texts, lead, min_docs, constant, min_tokens)
+    places = dropped_lines(texts, lead, min_docs, constant, min_tokens, min_copies, min_units)
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("places", i)), "\n")
     clean = texts.join(places, ["k1", "k2"], "left").select("k1", "k2", "text", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("places").isNull(), F.col("text")).otherwise(rest).alias("clean"))
