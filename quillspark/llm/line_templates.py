@@ -3,7 +3,7 @@
 A line's tokens (between ASCII white space) with a digit become ``<*>``. The tree has a fixed depth: token count, then the
 ``lead`` first tokens. Within a leaf, a token at a place is constant if lines of ``min_docs`` different texts have it there; other
 tokens are variable fields and become ``<*>``. The template so made recurs if ``min_docs`` different texts have it
-and at least ``constant`` of its tokens are constant. Lines of recurring templates are dropped, but for those of the template's first text (smallest id), so that nothing is lost altogether.
+and at least ``constant`` of the line's tokens without a digit, and ``lead`` of them, are constant. Lines of recurring templates are dropped, but for those of the template's first text (smallest id), so that nothing is lost altogether.
 Equal texts are one text and share one decision: copies are left to near-dedup.
 
 Lines of fewer than ``min_tokens`` tokens have no variable fields: they recur only token for token, digits as they are, in ``min_copies`` different
@@ -75,9 +75,9 @@ def dropped_lines(texts: DataFrame, lead: int, min_docs: int, constant: float, m
     forms = rows.select("leaf", "line", "k1", "k2").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
     spread = forms.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
     support = spread.groupBy("leaf", "at", "token").agg(F.sum("n").alias("s")).where(F.col("s") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("kept"))
-    marked = spread.join(support, ["leaf", "at", "token"], "left").groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("kept"), F.col("token")).otherwise("<*>").alias("token")))).alias("t"))
-    share = F.size(F.filter("t", lambda x: x["token"] != "<*>")) / F.size("t")
-    templates = marked.where(share >= constant).select("leaf", "line", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("template"))
+    marked = spread.join(support, ["leaf", "at", "token"], "left").groupBy("leaf", "line").agg(F.count_if(F.col("token") != "<*>").alias("plain"), F.array_sort(F.collect_list(F.struct("at", F.when(F.col("kept"), F.col("token")).otherwise("<*>").alias("token")))).alias("t"))
+    fixed = F.size(F.filter("t", lambda x: x["token"] != "<*>"))
+    templates = marked.where((fixed >= lead) & (fixed >= constant * F.col("plain"))).select("leaf", "line", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("template"))
     used = rows.join(templates, ["leaf", "line"]).select("leaf", "template", "k1", "k2", "first", "i")
     holders = used.groupBy("leaf", "template", "k1", "k2").agg(F.min("first").alias("first"))
     recurring = holders.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(rank()).alias("o")).where(F.col("n") >= min_docs)

@@ -20,3 +20,11 @@ def test_short_lines(spark):
     # few tokens aren't generalised; one word stays
     assert not any(dropped(spark, ["Page 3", "Page 4", "Page 5"]))
     assert not any(dropped(spark, ["Contents", "Contents", "Contents"]))
+
+
+def test_numeric_lines(spark):
+    log = "2024-01-05 12:00:01 INFO worker 3 started job 17"
+    assert dropped(spark, [log, log, log]) == [False, True, True]
+    assert dropped(spark, [log, "2024-01-06 12:09:44 INFO worker 5 started job 18", "2024-02-01 01:00:02 INFO worker 12 started job 9"]) == [False, True, True]
+    # numbers alone are no template
+    assert not any(dropped(spark, ["1 2 3 4 5 6", "7 8 9 10 11 12", "13 14 15 16 17 18"]))
