@@ -87,7 +87,7 @@ def dropped_lines(texts: DataFrame, lead: int, min_docs: int, constant: float, m
     return lost.groupBy("k1", "k2").agg(F.collect_set("i").alias("places"))
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = 3, min_docs: int = 3, constant: float = 0.7, min_tokens: int = 6, min_copies: int = 3, min_units: int = 2, out_col: str = "line_dedup") -> DataFrame:
+def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lead: int = 3, min_docs: int = 3, constant: float = 0.7, min_tokens: int = 6, min_copies: int = 2, min_units: int = 2, out_col: str = "line_dedup") -> DataFrame:
     """``df`` with ``out_col``: struct<n_lines: long, n_dropped: long, text: string>, the text without its recurring lines."""
     kept = [c for c in df.columns if c != text_col]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).isNull().alias("none"), *keys_of(F.coalesce(F.col(text_col), F.lit(""))))

@@ -28,3 +28,11 @@ def test_numeric_lines(spark):
     assert dropped(spark, [log, "2024-01-06 12:09:44 INFO worker 5 started job 18", "2024-02-01 01:00:02 INFO worker 12 started job 9"]) == [False, True, True]
     # numbers alone are no template
     assert not any(dropped(spark, ["1 2 3 4 5 6", "7 8 9 10 11 12", "13 14 15 16 17 18"]))
+
+
+def test_lines_of_two_texts(spark):
+    line = " ".join(f"w{chr(97 + k)}" for k in range(26)) * 3
+    assert dropped(spark, [line, line]) == [False, True]
+    assert dropped(spark, ["Thank you.", " Thank  you."]) == [False, True]
+    # a template needs three texts
+    assert not any(dropped(spark, [f"Dear {n} we thank you for your kind order of yesterday" for n in ("Ann", "Bob")]))
