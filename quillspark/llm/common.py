@@ -35,6 +35,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame, *without: str) -> Column:
+    """All columns of ``df`` as one, ``row``, so that an operator's own names can't clash with them."""
+    return F.struct(F.lit(0).alias("none"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns) if c not in without]).alias("row")
+
+
+def unpacked(rows: DataFrame, df: DataFrame, out: Column, out_col: str, replaced: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``df`` out of ``row`` (or as ``replaced`` says), and ``out_col``, which takes the place of a column of that name."""
+    replaced = replaced or {}
+    kept = [replaced.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(df.columns) if c.lower() != out_col.lower()]
+    return rows.select(*kept, out.alias(out_col))
+
+
 def words(text: Column) -> Column:
     """Words between the ASCII white space of the contracts: space and U+0009 to U+000D. Null: none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
