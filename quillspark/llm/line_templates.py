@@ -51,16 +51,17 @@ def masked(line: Column) -> Column:
 
 def line_rows(df: DataFrame, id_col: str, text_col: str, lead: int, min_tokens: int, min_units: int) -> DataFrame:
     """(k1, k2, i, leaf, v1, v2: the line token for token, m1, m2: the masked line, deep: whether it has a template, first: least id) for each line of each different text."""
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("id", *keys_of(F.col("text")), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    rows = rows.select("id", "k1", "k2", "i", normal(F.col("line")).alias("line")).where("line <> ''")
+    # the keys come before the lines, else each line would hash its whole text; no filter stands on a computed line, else Spark would compute it again for the filter
+    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), *keys_of(F.col(text_col)), F.split(text_col, "\n", -1).alias("lines"))
+    rows = rows.select("id", "k1", "k2", F.posexplode("lines").alias("i", "line")).where("trim(line) <> ''")
+    rows = rows.select("id", "k1", "k2", "i", normal(F.col("line")).alias("line"))
     rows = rows.select("id", "k1", "k2", "i", "line", masked(F.col("line")).alias("mask"))
-    count = F.length("mask") - F.length(F.translate("mask", " ", "")) + 1
+    count = F.when(F.col("mask") != "", F.length("mask") - F.length(F.replace("mask", F.lit(" "), F.lit(""))) + 1).otherwise(0)
     rows = rows.select("id", "k1", "k2", "i", "line", "mask", count.alias("count"))
-    units = F.col("count") + F.when(F.col("count") < min_units, F.greatest(F.regexp_count("line", F.lit(UNSPACED)) - 1, F.lit(0))).otherwise(0)
-    leaf = F.xxhash64("count", F.substring_index("mask", " ", lead))
+    unspaced = F.when(F.col("count") > 0, F.col("count") + F.greatest(F.regexp_count("line", F.lit(UNSPACED)) - 1, F.lit(0)) >= min_units)
+    leaf = F.when((F.col("count") >= min_units) | unspaced, F.xxhash64("count", F.substring_index("mask", " ", lead)))  # null: too short to recur
     line, mask = (F.xxhash64("line"), F.hash("line")), (F.xxhash64("mask"), F.hash("mask"))
-    rows = rows.where(units >= min_units).select("id", "k1", "k2", "i", leaf.alias("leaf"), line[0].alias("v1"), line[1].alias("v2"), mask[0].alias("m1"), mask[1].alias("m2"), (F.col("count") >= min_tokens).alias("deep"))
+    rows = rows.select("id", "k1", "k2", "i", leaf.alias("leaf"), line[0].alias("v1"), line[1].alias("v2"), mask[0].alias("m1"), mask[1].alias("m2"), (F.col("count") >= min_tokens).alias("deep"))
     return rows.groupBy("k1", "k2", "i", "leaf", "v1", "v2", "m1", "m2", "deep").agg(F.min("id").alias("first"))
 
 
@@ -100,7 +101,7 @@ def templates(texts: DataFrame, lines: DataFrame, lead: int, min_docs: int, cons
 
 def dropped_lines(texts: DataFrame, lines: DataFrame, lead: int, min_docs: int, constant: float, min_copies: int) -> DataFrame:
     """(k1, k2, places: indexes of dropped lines) of texts (k1, k2, text); ``lines`` as of ``line_rows``, computed already."""
-    leaves = lines.select("k1", "k2", "leaf").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(min_docs, min_copies))
+    leaves = lines.where("leaf is not null").select("k1", "k2", "leaf").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(min_docs, min_copies))
     shared = cut(lines.join(leaves, "leaf"))
     deep = shared.where(F.col("deep") & (F.col("n") >= min_docs))
     used = deep.join(templates(texts, deep, lead, min_docs, constant), ["m1", "m2", "leaf"]).select("leaf", "t1", "t2", "k1", "k2", "first", "i")
