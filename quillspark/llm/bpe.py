@@ -1,12 +1,16 @@
 """BPE encoding and decoding by a distinct-word table (operator 4), and encoded lengths for the length histogram (operator 6).
 
-Spark splits the texts into words on the JVM. Each task keeps a table of the distinct words it has met and gives the tokenizer each of
-them once; the ids come back to every occurrence by a dictionary join on the word and are laid out by position. Decoding joins ids
-to their pieces, a table of fixed size. The table is one per task and not one per corpus: a shuffled join of every word position
-would move several times the corpus, and a task's table never leaves its worker.
+Encoding. Texts are dealt into blocks of about ``BLOCK_BYTES`` by a hash of id and text, and split into words on the JVM. Each block's distinct words
+meet in one table of the corpus, in which every distinct word is encoded once; the ids go back to the blocks that have the word, and each block lays them out by position.
+So texts are shuffled once, and a word travels once for each block, not for each occurrence. Decoding joins ids to their pieces: a lookup in the
+table of pieces, which the vocabulary bounds and which is broadcast. The blocks are sized by a sum over the texts, which runs when the plan is built.
 
-A text that holds a special token's string, or a code point that the JVM's Unicode tables don't know, takes the tokenizer's own path.
-Null text counts as empty: no ids, empty decoded text. Ids and repeated rows pass through as they are, one row out for each row in.
+A text that holds a special token's string, or a code point that the JVM's Unicode tables don't know, is a word of its own in the table: the tokenizer splits it.
+Null text counts as empty: no ids, empty decoded text. Ids and repeated rows pass through as they are, one row out for each row in; an empty table gives an empty
+table. Very long texts are read whole: a block holds a text at least, so a task's memory is bounded by ``BLOCK_BYTES`` and the longest text. Rows equal in id and text share a block.
+Other columns aren't returned, so their names can't clash.
+
+Lengths alone (operator 6) need no positions: each task keeps the lengths of the distinct words it has met, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -20,20 +24,18 @@ from quillspark.llm.common import small_batches
 
 #: Fixed value: how the byte-level vocabulary splits a text into words.
 WORD_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A task's table is emptied beyond so many words, which bounds its memory and changes no result.
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 16 << 20
+#: A task's table of lengths is emptied beyond so many words, which bounds its memory and changes no result.
 TABLE_WORDS = 1_000_000
 
 
 def split_columns(text: Column, specials: list[str]) -> list[Column]:
-    """``words`` for the table, or ``whole`` for texts that only the tokenizer splits rightly."""
-    text = F.coalesce(text, F.lit(""))
+    """``odd``: whether only the tokenizer splits the text rightly; ``words``, which are then the whole text."""
     odd = text.rlike(r"\p{Cn}")
     for s in specials:
         odd = odd | text.contains(s)
-    return [
-        F.when(~odd, F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))).alias("words"),
-        F.when(odd, text).alias("whole"),
-    ]
+    return [odd.alias("odd"), F.when(odd, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))).alias("words")]
 
 
 def specials_of(path: str) -> list[str]:
@@ -43,7 +45,7 @@ def specials_of(path: str) -> list[str]:
 
 
 class WordTable:
-    """Ids of distinct words, each encoded once."""
+    """Encodes words, and keeps the lengths of those it has met."""
 
     def __init__(self, source: str):
         import os
@@ -54,84 +56,125 @@ class WordTable:
         self.whole = Tokenizer.from_str(source)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.single = Tokenizer.from_str(source)
-        self.single.no_truncation()
-        self.single.no_padding()
-        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, distinct: list[str]) -> list[bytes]:
+        self.own_split = self.whole.pre_tokenizer
+        self.one_word = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[str, int] = {}
+
+    def encoded(self, odd: list[bool], words: list[str]) -> list[list[int]]:
+        """Ids of each word; ``odd`` ones are split by the tokenizer."""
+        self.whole.pre_tokenizer = self.one_word
+        ids = []
+        for i in range(0, len(words), 4096):
+            part = ["" if o else w for o, w in zip(odd[i : i + 4096], words[i : i + 4096])]
+            ids += [e.ids for e in self.whole.encode_batch_fast(part, add_special_tokens=False)]
+        self.whole.pre_tokenizer = self.own_split
+        for i, o in enumerate(odd):
+            if o:
+                ids[i] = self.whole.encode(words[i], add_special_tokens=False).ids
+        return ids
+
+    def lengths(self, odd, words):
+        """Tokens of each row of an Arrow list of words."""
         import numpy as np
+        import pyarrow.compute as pc
 
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        parents = np.repeat(np.arange(len(counts)), counts)
+        values = pc.list_flatten(words).dictionary_encode()
+        index = values.indices.to_numpy()
+        distinct = values.dictionary.to_pylist()
         if len(self.known) > TABLE_WORDS:
             self.known = {}
-        known = self.known
-        new = [w for w in distinct if w not in known]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.single.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [known[w] for w in distinct]
-
-    def batch(self, words, whole: list[str | None], lengths_only: bool = False):
-        """Tokens of each row, and all ids in row order (none if only the lengths are wanted)."""
+        is_odd = np.zeros(len(distinct), bool)
+        is_odd[index[np.array(odd, bool)[parents]]] = True
+        new = [k for k, w in enumerate(distinct) if w not in self.known]
+        for k, ids in zip(new, self.encoded(is_odd[new].tolist(), [distinct[k] for k in new])):
+            self.known[distinct[k]] = len(ids)
+        size = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
+        return np.bincount(parents, size[index], len(counts)).astype(np.int64)
+
+
+def _source(tokenizer: str) -> str:
+    """A tokenizer file's text, which goes with the tasks: executors need no file of the driver's."""
+    with open(tokenizer, encoding="utf-8") as f:
+        return f.read()
+
+
+def word_ids(words: DataFrame, tokenizer: str) -> DataFrame:
+    """(odd, word, ids binary) for each row of ``words`` (odd boolean: to be split by the tokenizer, word)."""
+    model = words.sparkSession.sparkContext.broadcast(_source(tokenizer))
+
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
 
-        n = len(words)
-        words = words.fill_null([]) if words.null_count else words
-        at = words.offsets.to_numpy().astype(np.int64)
-        values = words.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-        index = values.indices.to_numpy()
-        ids = self.ids(values.dictionary.to_pylist())
-        size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        of_word = size[index] if len(index) else np.zeros(0, np.int64)
-        total = np.concatenate([[0], np.cumsum(of_word)])
-        ends = total[at - at[0]]
-        counts = np.diff(ends)
-        own = {i: np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(whole) if t is not None}
-        if not lengths_only:
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            first = np.concatenate([[0], np.cumsum(size)])[:-1]
-            flat = flat[np.repeat(first[index] - total[:-1], of_word) + np.arange(total[-1])] if len(index) else flat[:0]
-            rows = [own.get(i, flat[ends[i] : ends[i + 1]] if counts[i] else flat[:0]) for i in range(n)] if own else np.split(flat, ends[1:-1]) if n else []
-        for i, x in own.items():
-            counts[i] = len(x)
-        return counts, None if lengths_only else rows
-
-
-def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        table = None
+        for b in batches:
+            if b.num_rows:
+                table = table or WordTable(model.value)
+                ids = table.encoded(b.column(0).to_pylist(), b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], names=["odd", "word", "ids"])
+
+    return words.select("odd", "word").mapInArrow(run, "odd boolean, word string, ids binary")
+
+
+def laid_out(rows, table):
+    """row_id, n_tokens and ids of a block's rows (row_id, odd, words), by position; ``table``: the block's words (piece, ids)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows, table = rows.combine_chunks(), table.combine_chunks()
+    flat, counts = pc.list_flatten(rows.column("words")), pc.list_value_length(rows.column("words")).to_numpy()
+    parents = np.repeat(np.arange(len(counts)), counts)
+    # a text that the tokenizer splits never equals a word of the others: it holds a special token or an unknown code point
+    at = pc.index_in(flat, value_set=table.column("piece")).to_numpy() if len(flat) else np.zeros(0, np.int64)
+    ids = table.column("ids").to_pylist()
+    size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+    first = np.concatenate([[0], np.cumsum(size)])[:-1]
+    each = size[at]
+    ends = np.cumsum(each)
+    pool = np.frombuffer(b"".join(ids), "<u4")
+    laid = pool[np.repeat(first[at] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    n_tokens = np.bincount(parents, each, len(counts)).astype(np.int64)
+    stops = np.cumsum(n_tokens) * 4
+    out = pa.array([laid[b - 4 * n : b] for b, n in zip(stops.tolist(), n_tokens.tolist())], pa.binary())
+    return pa.table({"row_id": rows.column("row_id"), "n_tokens": pa.array(n_tokens), "ids": out})
+
+
+def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(``id_col``, n_tokens long, ids binary: little-endian unsigned 32-bit), one row for each row of ``df``. tokenizer: path of a byte-level tokenizer file."""
-    return _encoded(df, tokenizer, id_col, text_col, lengths_only=False)
+    small_batches(df.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    block = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(-(-total // block_bytes) or 1)).cast("int")
+    rows = df.select(F.col(id_col).alias("row_id"), text.alias("text"), block.alias("block")).repartition("block")  # both uses below have this exchange
+    rows = rows.select("row_id", "block", *split_columns(F.col("text"), specials_of(tokenizer)))
+    words = rows.select("block", "odd", F.explode("words").alias("word")).distinct()
+    table = word_ids(words.select("odd", "word").distinct(), tokenizer)
+    asked = words.join(table, ["odd", "word"]).select(F.col("block").alias("at"), F.col("word").alias("piece"), "ids")
+    kind = df.schema[id_col].dataType.simpleString()
+    out = rows.groupBy("block").cogroup(asked.groupBy("at")).applyInArrow(laid_out, f"row_id {kind}, n_tokens long, ids binary")
+    return out.withColumnRenamed("row_id", id_col)
 
 
 def encoded_lengths(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, n_tokens long) without laying out the ids."""
-    return _encoded(df, tokenizer, id_col, text_col, lengths_only=True)
-
-
-def _encoded(df: DataFrame, tokenizer: str, id_col: str, text_col: str, lengths_only: bool) -> DataFrame:
     small_batches(df.sparkSession)
-    with open(tokenizer, encoding="utf-8") as f:  # its text goes with the tasks: executors need no file of the driver's
-        source = f.read()
-    context = df.sparkSession.sparkContext
-    model = context.broadcast(source)
-    rows = df.select(F.col(id_col).alias("row_id"), *split_columns(F.col(text_col), specials_of(tokenizer)))
+    model = df.sparkSession.sparkContext.broadcast(_source(tokenizer))
+    rows = df.select(F.col(id_col).alias("row_id"), *split_columns(F.coalesce(F.col(text_col), F.lit("")), specials_of(tokenizer)))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words = None
+        table = None
         for b in batches:
-            if words is None:
-                words = WordTable(model.value)
-            counts, ids = words.batch(b.column(1), b.column(2).to_pylist(), lengths_only)
-            columns = [b.column(0), pa.array(counts, pa.int64())]
-            if not lengths_only:
-                columns.append(pa.array([x.tobytes() for x in ids], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "n_tokens", "ids"][: len(columns)])
+            if b.num_rows:
+                table = table or WordTable(model.value)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(table.lengths(b.column(1).to_pylist(), b.column(2)), pa.int64())], names=["row_id", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"row_id {kind}, n_tokens long" + ", ids binary" * (not lengths_only)).withColumnRenamed("row_id", id_col)
+    return rows.mapInArrow(run, f"row_id {kind}, n_tokens long").withColumnRenamed("row_id", id_col)
 
 
 def piece_table(tokenizer: str) -> list[bytes]:
