@@ -1,7 +1,7 @@
 """BPE encoding and decoding by a distinct-word table (operator 4), and encoded lengths for the length histogram (operator 6).
 
 Encoding. Texts are dealt into blocks of about ``BLOCK_BYTES`` by a hash of id and text, and split into words on the JVM. Each block's distinct words
-meet in one table of the corpus, in which every distinct word is encoded once; the ids go back to the blocks that have the word, and each block lays them out by position.
+meet in one sorted table of the corpus, in which every distinct word is encoded once; the ids go back to the blocks that have the word, and each block lays them out by position.
 So texts are shuffled once, and a word travels once for each block, not for each occurrence. Decoding joins ids to their pieces: a lookup in the
 table of pieces, which the vocabulary bounds and which is broadcast. The blocks are sized by a sum over the texts, which runs when the plan is built.
 
@@ -101,21 +101,28 @@ def _source(tokenizer: str) -> str:
 
 
 def word_ids(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(odd, word, ids binary) for each row of ``words`` (odd boolean: to be split by the tokenizer, word)."""
+    """(at, piece, ids binary) for each row of ``words`` (block, odd: to be split by the tokenizer, word). Equal words meet in one task in a row, and are encoded once."""
     model = words.sparkSession.sparkContext.broadcast(_source(tokenizer))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        table = None
+        table, last = None, {}
         for b in batches:
             if b.num_rows:
                 table = table or WordTable(model.value)
-                ids = table.encoded(b.column(0).to_pylist(), b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], names=["odd", "word", "ids"])
+                keys = b.column(2).dictionary_encode()
+                index, distinct = keys.indices.to_numpy(), keys.dictionary.to_pylist()
+                odd = np.zeros(len(distinct), bool)
+                odd[index] = b.column(1).to_numpy(zero_copy_only=False)
+                new = [k for k, w in enumerate(distinct) if w not in last]
+                ids = dict(zip(new, table.encoded(odd[new].tolist(), [distinct[k] for k in new])))
+                found = [last[w] if k not in ids else np.array(ids[k], "<u4").tobytes() for k, w in enumerate(distinct)]
+                last = {distinct[index[-1]]: found[index[-1]]}
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary()).take(pa.array(index))], names=["at", "piece", "ids"])
 
-    return words.select("odd", "word").mapInArrow(run, "odd boolean, word string, ids binary")
+    return words.repartition("odd", "word").sortWithinPartitions("odd", "word").mapInArrow(run, "at int, piece string, ids binary")
 
 
 def laid_out(rows, table):
@@ -150,9 +157,10 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     block = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(-(-total // block_bytes) or 1)).cast("int")
     rows = df.select(F.col(id_col).alias("row_id"), text.alias("text"), block.alias("block")).repartition("block")  # both uses below have this exchange
     rows = rows.select("row_id", "block", *split_columns(F.col("text"), specials_of(tokenizer)))
-    words = rows.select("block", "odd", F.explode("words").alias("word")).distinct()
-    table = word_ids(words.select("odd", "word").distinct(), tokenizer)
-    asked = words.join(table, ["odd", "word"]).select(F.col("block").alias("at"), F.col("word").alias("piece"), "ids")
+    # asks for the ids too, whose residue by one is always 0: else the columns and so the exchange would differ from those of the other use
+    own = F.when(F.pmod(F.xxhash64("row_id"), F.lit(1)) == 0, F.array_distinct("words"))
+    words = rows.select("block", "odd", F.explode(own).alias("word")).distinct()
+    asked = word_ids(words, tokenizer)
     kind = df.schema[id_col].dataType.simpleString()
     out = rows.groupBy("block").cogroup(asked.groupBy("at")).applyInArrow(laid_out, f"row_id {kind}, n_tokens long, ids binary")
     return out.withColumnRenamed("row_id", id_col)
