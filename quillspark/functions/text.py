@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 #: Characters with an ASCII form beside the full-width block (which follows a rule).
 VARIANTS = {
-    "{": "﹛❴", "}": "﹜❵", "<": "〈《〈", ">": "〉》〉", "[": "【〔〖〘〚﹝", "]": "】〕〗〙〛﹞", "(": "❲﹙⁽₍❨﴾", ")": "❳﹚⁾₎❩﴿",
+    "{": "﹛❴", "}": "﹜❵", "<": "\u2329\u3008\u300a", ">": "\u232a\u3009\u300b", "[": "【〔〖〘〚﹝", "]": "】〕〗〙〛﹞", "(": "❲﹙⁽₍❨﴾", ")": "❳﹚⁾₎❩﴿",
     '"': "“”„‟«»〝〞〟「」『』", "'": "‘‚‛", ",": "、", "-": "—", " ": "\u3000\xa0\u2007\u202f\ufeff\u202a\x00\u3164\u2800\u180e",
 }
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
 def ascii_map() -> dict[str, str]:
-    """Every character that has an ASCII form: the variants above, and the full-width block less the two that stay."""
+    """Every character that has an ASCII form: the variants above, and the full-width block."""
     full = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
     return full | {v: k for k, vs in VARIANTS.items() for v in vs}
 

@@ -137,3 +137,22 @@ def row_formats(spark: SparkSession, d: str) -> DataFrame:
     for how in ("csv", "sep(|)", "{{b}}={{a}}"):
         out = out.union(render_rows(df, how))
     return out
+
+
+#: Code points with an ASCII form, beside U+FF01 to U+FF5E, whose form is 0xFEE0 lower.
+ASCII_FORMS = [
+    ("{", [0xFE5B, 0x2774]), ("}", [0xFE5C, 0x2775]), ("<", [0x2329, 0x3008, 0x300A]), (">", [0x232A, 0x3009, 0x300B]),
+    ("[", [0x3010, 0x3014, 0x3016, 0x3018, 0x301A, 0xFE5D]), ("]", [0x3011, 0x3015, 0x3017, 0x3019, 0x301B, 0xFE5E]),
+    ("(", [0x2772, 0xFE59, 0x207D, 0x208D, 0x2768, 0xFD3E]), (")", [0x2773, 0xFE5A, 0x207E, 0x208E, 0x2769, 0xFD3F]),
+    ('"', [0x201C, 0x201D, 0x201E, 0x201F, 0xAB, 0xBB, 0x301D, 0x301E, 0x301F, 0x300C, 0x300D, 0x300E, 0x300F]), ("'", [0x2018, 0x201A, 0x201B]),
+    (",", [0x3001]), ("-", [0x2014]), (" ", [0x3000, 0xA0, 0x2007, 0x202F, 0xFEFF, 0x202A, 0x3164, 0x2800, 0x180E]),
+]
+_FORMS = " UNION ALL ".join("SELECT CAST({} AS BIGINT) AS code, '{}' AS ascii".format(c, a.replace("'", "''")) for a, cs in ASCII_FORMS for c in cs)
+
+
+@register("ascii_table", f"SELECT code, ascii FROM ({_FORMS} UNION ALL SELECT 65281 + i, chr(CAST(33 + i AS INTEGER)) FROM range(94) t(i)) UNION ALL SELECT 65375 + i, chr(CAST(65375 + i AS INTEGER)) FROM range(3) t(i)")
+def ascii_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every character with an ASCII form (but NUL, which SQL text can't hold), and three that have none."""
+    codes = [c for _, cs in ASCII_FORMS for c in cs] + list(range(65281, 65378))
+    rows = spark.createDataFrame([(c, chr(c)) for c in codes], "code long, ch string")
+    return rows.select("code", text.to_ascii(F.col("ch")).alias("ascii"))
