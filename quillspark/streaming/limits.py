@@ -78,11 +78,11 @@ def limit_stream(df: DataFrame, key: str, ts: str, capacity: int, rate: int, int
 
 
 def ttl_cache(ttl: float, jitter: float = 1.0, clock: Callable[[], float] = time.monotonic) -> Callable:
-    """Results are kept ``ttl`` seconds and up to ``jitter`` more; ``ttl`` of 0 or less keeps none. Positions of arguments count."""
+    """Results are kept ``ttl`` seconds and up to ``jitter`` more; ``ttl`` of 0 or less keeps none. Positions of arguments count. Calls that miss at the same time all run; the last result stays."""
 
     def decorate(function: Callable) -> Callable:
         held: dict[int, tuple[float, object]] = {}
-        lock = threading.Lock()
+        lock = threading.RLock()
 
         @wraps(function)
         def cached(*args, **kwargs):
@@ -90,11 +90,13 @@ def ttl_cache(ttl: float, jitter: float = 1.0, clock: Callable[[], float] = time
                 return function(*args, **kwargs)
             key = stable_hash({"args": {str(i): repr(a) for i, a in enumerate(args)}, "kwargs": {k: repr(v) for k, v in kwargs.items()}})
             with lock:
-                until, result = held.get(key, (0.0, None))
-                if clock() >= until:
-                    result = function(*args, **kwargs)
-                    held[key] = (clock() + ttl + random.uniform(0, jitter), result)
+                until, result = held.get(key, (float("-inf"), None))
+            if clock() < until:
                 return result
+            result = function(*args, **kwargs)  # not under the lock: it may be slow, or call itself
+            with lock:
+                held[key] = (clock() + ttl + random.uniform(0, jitter), result)
+            return result
 
         cached.cache_clear = held.clear
         return cached

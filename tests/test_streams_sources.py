@@ -140,3 +140,26 @@ def test_mock_rows_are_stable(spark):
     spec = {"name": "str(3,8)", "age": "num(18,65)", "maybe": {"value": "num(0,1)", "null": 0.5}, "tags": {"type": "array", "items": "enum(a,b)", "size": 2}}
     a, b = mock.rows(spark, spec, 200).collect(), mock.rows(spark, spec, 200).repartition(7).collect()
     assert sorted(a, key=str) == sorted(b, key=str) and 50 < sum(r["maybe"] is None for r in a) < 150 and len(a[0]["tags"]) == 2
+
+
+def test_cached_calls_run_outside_the_lock():
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quillspark.streaming.limits import ttl_cache
+
+    @ttl_cache(60)
+    def factorial(n):
+        return n * factorial(n - 1) if n else 1
+
+    assert factorial(20) == 2432902008176640000
+    both = threading.Barrier(2, timeout=10)
+
+    @ttl_cache(60)
+    def met(n):
+        both.wait()
+        return n
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(met, [1, 2])) == [1, 2]
+    assert met(1) == 1
