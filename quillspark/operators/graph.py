@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 from collections.abc import Hashable, Iterable
 
@@ -79,11 +80,11 @@ def in_degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.join(into, "vertex", "left").select("vertex", F.coalesce("n", F.lit(0)).alias("degree"))
 
 
-def levels(vertices: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(vertex, level): the longest path to each vertex, layer by layer; ValueError on a cycle. Each layer is checkpointed."""
+def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(vertex, level): the longest path to each vertex, layer by layer; ValueError on a cycle. Each layer is checkpointed, and there are as many as the longest path has vertices."""
     left, todo = vertices.select("vertex").distinct(), edges.distinct()
     out = None
-    for level in range(most):
+    for level in itertools.count():
         layer = left.join(todo.select(F.col("dst").alias("vertex")).distinct(), "vertex", "left_anti")
         layer = cut(layer.withColumn("level", F.lit(level)))
         if layer.isEmpty():

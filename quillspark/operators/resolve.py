@@ -5,6 +5,8 @@ Links are ids, not pointers: ``refers_to`` names an entity of the same document,
 
 from __future__ import annotations
 
+from functools import reduce
+
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -82,33 +84,30 @@ def _nearest(left: DataFrame, right: DataFrame, at: str, direction: str, right_o
     return asof_join(left, refs, on=at, by=["doc_id"], direction=direction, right_on=right_on, tie="id")
 
 
-def link(found: DataFrame) -> DataFrame:
-    """``found`` (doc_id, ent_id, text, doc_type, start, end, type, def_start, ...) with ``refers_to`` and ``owner``."""
+def link(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``found`` (doc_id, ent_id, doc_type, start, end, type, def_start, ...) with ``refers_to`` and ``owner``. Texts (of ``docs``) are only met by the candidates, to look into the gaps between two entities."""
     self_as_this = (F.col("type") == "LAW_SELF") & ~F.coalesce(F.col("doc_type") == "Legislation", F.lit(False))
     rows = found.withColumn("type", F.when(self_as_this, "THIS_LAW").otherwise(F.col("type")))
-    text = F.col("text")
+    gap = lambda near, what, a, b, bracket: near.select("doc_id", "ent_id", F.lit(what).alias("what"), "r_id", F.col(a).alias("a"), F.col(b).alias("b"), F.lit(bracket).alias("bracket"))
+    gaps = []
 
     # references: the nearest definition that ends before the entity (or before the abbreviation's definition) begins
-    linked = None
     for kind in ("THIS_LAW", "LAW_ARTICLE", "LAW_DYNAMIC_ABBR"):
         of_definition = kind == "LAW_DYNAMIC_ABBR"
         own = rows.where(F.col("type") == kind).withColumn("_at", F.col("def_start") if of_definition else F.col("start"))
-        near = _nearest(own, rows.where(F.col("type").isin(*DEPENDS_ON[kind])), "_at", "lower", "e")
-        good = free_of_sentence_end(text, F.col("r_e"), F.col("_at"))
-        good = good & one_left_bracket(text, F.col("r_e"), F.col("_at")) if of_definition else good
-        near = near.select("doc_id", "ent_id", F.when(good, F.col("r_id")).alias("refers_to"))
-        linked = near if linked is None else linked.unionByName(near)
+        gaps.append(gap(_nearest(own, rows.where(F.col("type").isin(*DEPENDS_ON[kind])), "_at", "lower", "e"), "refers", "r_e", "_at", of_definition))
 
     # attributes: a title right before in brackets (dates and issue numbers), else the next title
     titles = rows.where("type = 'LAW_TITLE'")
     attrs = rows.where(F.col("type").isin(*DEPENDS_ON["LAW_TITLE"]))
-    back = _nearest(attrs, titles, "start", "lower", "e")
-    ok = F.col("type").isin("DATE", "ISSUE_NO") & free_of_sentence_end(text, F.col("r_e"), F.col("start")) & one_left_bracket(text, F.col("r_e"), F.col("start"))
-    back = back.withColumn("_back", F.when(ok, F.col("r_id"))).drop("r_id", "r_s", "r_e")
-    ahead = _nearest(back, titles, "end", "ceiling", "s")
-    owner = F.coalesce("_back", F.when(free_of_sentence_end(text, F.col("end"), F.col("r_s")), F.col("r_id")))
-    owned = ahead.select("doc_id", "ent_id", owner.alias("owner"))
-    return rows.join(linked, ["doc_id", "ent_id"], "left").join(owned, ["doc_id", "ent_id"], "left")
+    gaps.append(gap(_nearest(attrs.where("type in ('DATE', 'ISSUE_NO')"), titles, "start", "lower", "e"), "back", "r_e", "start", True))
+    gaps.append(gap(_nearest(attrs, titles, "end", "ceiling", "s"), "ahead", "end", "r_s", False))
+
+    asked = reduce(DataFrame.unionByName, gaps).where("r_id is not null").join(docs.select("doc_id", "text"), "doc_id")
+    free = free_of_sentence_end(F.col("text"), F.col("a"), F.col("b")) & (~F.col("bracket") | one_left_bracket(F.col("text"), F.col("a"), F.col("b")))
+    of = lambda what: F.max(F.when(F.col("what") == what, F.col("r_id")))
+    picked = asked.where(free).groupBy("doc_id", "ent_id").agg(of("refers").alias("refers_to"), F.coalesce(of("back"), of("ahead")).alias("owner"))
+    return rows.join(picked, ["doc_id", "ent_id"], "left")
 
 
 def drop_orphans(rows: DataFrame) -> DataFrame:
@@ -117,17 +116,18 @@ def drop_orphans(rows: DataFrame) -> DataFrame:
 
 def resolve(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Entities that stay, with their links, and the attributes of titles as a map from type to texts."""
-    rows = validate(found.join(docs.select("doc_id", "text", "doc_type", "title"), "doc_id"))
-    rows = link(spans.resolve(rows, ["doc_id"], "longest", direct_only=True, ord_col="ent_id"))
+    rows = validate(found.join(docs.select("doc_id", "text", "doc_type", "title"), "doc_id")).drop("text", "title")
+    rows = link(spans.resolve(rows, ["doc_id"], "longest", direct_only=True, ord_col="ent_id"), docs)
     owned = rows.where("owner is not null").groupBy("doc_id", "owner", "type").agg(F.array_sort(F.collect_set("ent_text")).alias("v"))
     attrs = owned.groupBy("doc_id", "owner").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "v")))).alias("attrs")).withColumnRenamed("owner", "ent_id")
     return drop_orphans(rows).join(attrs, ["doc_id", "ent_id"], "left").select("doc_id", "ent_id", "ent_text", "start", "end", "type", "alias", "refers_to", "attrs")
 
 
-def refer(rows: DataFrame, most: int = 16) -> DataFrame:
-    """(doc_id, ent_id, target): where following ``refers_to`` ends."""
+def refer(rows: DataFrame) -> DataFrame:
+    """(doc_id, ent_id, target): where following ``refers_to`` ends. Each round doubles the steps, so the rounds follow from the most entities of a document, which are counted when the plan is built."""
     out = rows.select("doc_id", "ent_id", F.coalesce("refers_to", "ent_id").alias("target"))
-    for _ in range(most.bit_length()):
+    longest = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(longest.bit_length()):
         ends = out.select("doc_id", F.col("ent_id").alias("_e"), F.col("target").alias("_next"))
         out = out.join(ends, (out["doc_id"] == ends["doc_id"]) & (out["target"] == ends["_e"]), "left").select(out["doc_id"], out["ent_id"], F.coalesce("_next", "target").alias("target"))
     return out
