@@ -12,6 +12,7 @@ from quillspark.functions import dates, numbers, text
 from quillspark.operators import asof, rules, spans, where
 from quillspark.plans.registry import register
 from quillspark.session import table
+from quillspark.streaming import windows
 
 ROUTES = {"hot": {"active": "nonnull(user_id)&event_type=purchase|signup"}, "err": {"nines": 'event_type=error&regex(props,".*: 9[0-9].*")'}}
 _ROUTED = """SELECT event_id, 'hot' AS label FROM events WHERE user_id IS NOT NULL AND event_type IN ('purchase','signup')
@@ -56,15 +57,15 @@ def where_nested(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").where(where.build(config)).select("c_custkey", "c_mktsegment")
 
 
-@register("where_between_like", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 30 AND p_brand LIKE 'Brand#%' AND starts_with(p_name, 'p') AND p_size NOT IN (7, 9) AND p_type NOT LIKE '%ZZZ%'")
+@register("where_between_like", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 30 AND p_brand LIKE 'Brand#1%' AND starts_with(p_name, 'red') AND p_size NOT IN (7, 9) AND p_type NOT LIKE 'ECO%'")
 def where_between_like(spark: SparkSession, d: str) -> DataFrame:
-    leaves = [("p_size", "between", [5, 30]), ("p_brand", "like", "Brand#%"), ("p_name", "startswith", "p"), ("p_size", "not in", [7, 9]), ("p_type", "not like", "%ZZZ%")]
+    leaves = [("p_size", "between", [5, 30]), ("p_brand", "like", "Brand#1%"), ("p_name", "startswith", "red"), ("p_size", "not in", [7, 9]), ("p_type", "not like", "ECO%")]
     return table(spark, d, "part").where(where.build([dict(zip(("column", "operator", "value"), x)) for x in leaves])).select("p_partkey")
 
 
-@register("where_collapsed", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' AND o_totalprice >= 1000 AND o_totalprice <= 100000 AND o_custkey < 500")
+@register("where_collapsed", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' AND o_totalprice >= 1000 AND o_totalprice <= 100000 AND o_totalprice < 90000")
 def where_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    leaves = [("o_orderstatus", "in", ["O"]), ("o_orderpriority", "ne", "5-LOW"), ("o_totalprice", "ge", 1000), ("o_totalprice", "le", 100000), ("o_custkey", "lt", 500)]
+    leaves = [("o_orderstatus", "in", ["O"]), ("o_orderpriority", "ne", "5-LOW"), ("o_totalprice", "ge", 1000), ("o_totalprice", "le", 100000), ("o_totalprice", "lt", 90000)]
     return table(spark, d, "orders").where(where.build({"and": [dict(zip(("column", "operator", "value"), x)) for x in leaves]})).select("o_orderkey")
 
 
@@ -103,18 +104,14 @@ def range_join(spark: SparkSession, d: str) -> DataFrame:
     return asof.range_join(table(spark, d, "part").select("p_partkey", "p_retailprice"), ranges, "p_retailprice", "s_acctbal", "upto", 50.0).select("s_suppkey", "p_partkey")
 
 
-_SPANS = "(SELECT user_id, event_id AS ord, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value * 20) AS BIGINT) AS \"end\" FROM events WHERE user_id < 200)"
+_SPANS = "(SELECT user_id, event_id AS ord, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value * 20) AS BIGINT) AS \"end\" FROM events)"
 
 
-def _all_spans(spark: SparkSession, d: str) -> DataFrame:
+def _spans(spark: SparkSession, d: str) -> DataFrame:
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
     return table(spark, d, "events").select("user_id", F.col("event_id").alias("ord"), at.alias("start"), (at + F.floor(F.col("value") * 20)).alias("end"))
 
 
-def _spans(spark: SparkSession, d: str) -> DataFrame:
-    return _all_spans(spark, d).where("user_id < 200")
-
-
 def _reach(order: str) -> str:
     return f'SELECT *, MAX("end") OVER (PARTITION BY user_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {_SPANS} s'
 
@@ -139,7 +136,6 @@ for _name, _strategy, _is_direct, _sql in (
     ("overlap_earliest_longest_direct", "earliest_longest", True, _direct('start, "end" DESC, ord', False)),
 ):
     register(_name, _sql)(lambda s, d, k=_strategy, b=_is_direct: spans.resolve(_spans(s, d), ["user_id"], k, b).select("user_id", "ord"))
-    register(f"{_name}_all", _sql.replace(" WHERE user_id < 200", ""))(lambda s, d, k=_strategy, b=_is_direct: spans.resolve(_all_spans(s, d), ["user_id"], k, b).select("user_id", "ord"))
 
 
 @register("sla_window", "WITH w AS (SELECT date_trunc('hour', MAX(ts) - INTERVAL 90 MINUTE) AS hi FROM events) SELECT event_type, COUNT(*) AS n FROM events, w WHERE ts >= hi - INTERVAL 6 HOUR AND ts < hi GROUP BY event_type")
@@ -165,26 +161,21 @@ def date_partitions(spark: SparkSession, d: str) -> DataFrame:
 
 @register("tumbling_hourly", "SELECT date_trunc('hour', ts) AS hour, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_hourly(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return e.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total")
+    e = windows.tumbling(table(spark, d, "events"), "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")])
+    return e.select(F.col("window_start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-_SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id < 300),
+_SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, MIN(ts) AS window_start, MAX(ts) + INTERVAL 30 MINUTE AS window_end, COUNT(*) AS n FROM s GROUP BY user_id, k"""
 
 
 def _sessions(e: DataFrame) -> DataFrame:
-    e = e.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return e.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n")
+    e = windows.sessions(e, "ts", "30 minutes", ["user_id"], [F.count(F.lit(1)).alias("n")])
+    return e.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n")
 
 
 @register("session_windows", _SESSIONS)
 def session_windows(spark: SparkSession, d: str) -> DataFrame:
-    return _sessions(table(spark, d, "events").where("user_id < 300"))
-
-
-@register("session_windows_all", _SESSIONS.replace(" WHERE user_id < 300", ""))
-def session_windows_all(spark: SparkSession, d: str) -> DataFrame:
     return _sessions(table(spark, d, "events"))
 
 
@@ -205,7 +196,7 @@ def invert_map(spark: SparkSession, d: str) -> DataFrame:
     return coll.invert_map(maps, "m").select("v", F.array_join("keys", ",").alias("keys"))
 
 
-_ATTRIBUTES = "SELECT user_id, event_type, array_to_string(list_sort(list(DISTINCT CAST(floor(value) AS BIGINT))), ',') AS vals FROM events WHERE user_id < 50 GROUP BY user_id, event_type"
+_ATTRIBUTES = "SELECT user_id, event_type, array_to_string(list_sort(list(DISTINCT CAST(floor(value) AS BIGINT))), ',') AS vals FROM events GROUP BY user_id, event_type"
 
 
 def _attributes(e: DataFrame) -> DataFrame:
@@ -215,11 +206,6 @@ def _attributes(e: DataFrame) -> DataFrame:
 
 @register("attribute_sets", _ATTRIBUTES)
 def attribute_sets(spark: SparkSession, d: str) -> DataFrame:
-    return _attributes(table(spark, d, "events").where("user_id < 50"))
-
-
-@register("attribute_sets_all", _ATTRIBUTES.replace(" WHERE user_id < 50", ""))
-def attribute_sets_all(spark: SparkSession, d: str) -> DataFrame:
     return _attributes(table(spark, d, "events"))
 
 
@@ -303,13 +289,8 @@ def strip_variants(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(text.strip_equivalents(F.col("text"), ".")).cast("long").alias("n"))
 
 
-@register("sentence_free", "SELECT doc_id, NOT regexp_matches(substr(text, 11, 40), '[?!.。？！]') AS free FROM documents")
+@register("sentence_free", "SELECT doc_id, NOT regexp_matches(text, '[?!.。？！]') AS free FROM documents")
 def sentence_free(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.free_of_sentence_end(F.col("text"), F.lit(10), F.lit(50)).alias("free"))
-
-
-@register("sentence_free_all", "SELECT doc_id, NOT regexp_matches(text, '[?!.。？！]') AS free FROM documents")
-def sentence_free_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.free_of_sentence_end(F.col("text"), F.lit(0), F.length("text")).alias("free"))
 
 

@@ -189,7 +189,7 @@ def in_degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.in_degrees(spark.createDataFrame([(v,) for v in "abcd"], "vertex string"), edges)
 
 
-_BUCKET = """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id < 60),
+_BUCKET = """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 c(user_id, event_id, i, tokens, updated, admitted) AS (SELECT user_id, event_id, i, CAST(2 AS BIGINT) - 1, t, true FROM e WHERE i = 1 UNION ALL
 SELECT e.user_id, e.event_id, e.i,
 CASE WHEN least(3 - 1, c.tokens + ((e.t - c.updated) // 3600) * 1) > 0 THEN least(3 - 1, c.tokens + ((e.t - c.updated) // 3600) * 1) - 1 ELSE 0 END,
@@ -200,11 +200,6 @@ SELECT user_id, event_id, admitted FROM c"""
 
 @register("token_bucket", _BUCKET)
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return _buckets(table(spark, d, "events").where("user_id < 60"))
-
-
-@register("token_bucket_all", _BUCKET.replace(" WHERE user_id < 60", ""))
-def token_bucket_all(spark: SparkSession, d: str) -> DataFrame:
     return _buckets(table(spark, d, "events"))
 
 
