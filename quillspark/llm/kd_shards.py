@@ -3,14 +3,15 @@
 Documents are points in dimensions of their metadata: size, language, source and id. A cell that needs more than one
 shard is split along its widest dimension (its range against the range of all documents) at the weighted quantile that
 gives each side its part of the bytes: the weighted median, or the nearest to it that whole leaves allow. All cells of a level are
-split at once. A quantile comes from a histogram of ``BINS`` bins; ties are split by a hash of text and id, in a
-second histogram over the bin where the quantile lies, so that one hot value never has to fall on one side. Law: bytes.
+split at once. A quantile comes from a histogram of ``BINS`` bins; ties are split by a hash of text, id and where the row was read, in a
+second histogram over the bin where the quantile lies, so that neither a hot value nor a row repeated many times has to fall on one side. Law: bytes.
 
 Only histograms, at most ``BINS`` bins for each cell, are ever gathered, and they are reduced to a row for each cell before they reach the
 driver. A document's shard is one expression over its metadata: texts are read once and not shuffled.
 
-Null text: size 16. Null metadata: the dimension's smallest value. Equal rows share all decisions and differ in their slots only. An empty table
-gives an empty result.
+Null text: size 16. Null metadata: the dimension's smallest value. An id that is no number is placed by its CRC. Equal rows may part, so which of them goes where depends on how the files are
+dealt to tasks; the rest doesn't, but for ties at a cut. An empty table gives an empty result. Very long texts: only their size and CRC are taken; a shard is over its part by at most
+the rows of one bin of ties. Only the named columns are read and returned, so others can't clash. The splits run when the plan is built.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ def points(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", catego
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = (F.octet_length(text) + OVERHEAD).cast("long")
     named = [F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")).cast("double"), F.lit(0.0)) for c in categories]
-    place = [F.log(size.cast("double")), *named, F.coalesce(F.col(id_col).cast("double"), F.lit(0.0))]
+    place = [F.log(size.cast("double")), *named, F.coalesce(F.col(id_col).try_cast("double"), F.crc32(F.col(id_col).cast("string").cast("binary")).cast("double"), F.lit(0.0))]
     crc = F.crc32(text.cast("binary"))
-    tie = (F.pmod(F.xxhash64(crc, size, F.col(id_col)), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("tie")
+    tie = (F.pmod(F.xxhash64(crc, size, F.col(id_col), F.monotonically_increasing_id()), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("tie")
     return df.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("text_crc32"), *[p.alias(f"d{i}") for i, p in enumerate(place)], tie)
 
 
