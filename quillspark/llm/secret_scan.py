@@ -6,7 +6,8 @@ secret if the ratio is at least ``MARGIN`` in total and ``RATE`` for each charac
 hash digits in the usual alphabets, and identifiers made of ordinary words in the usual cases. They have a fixed
 size (64 by 64 numbers), so the model is a literal in the plan, and scoring stays on the JVM.
 
-Offsets are code points of the whole text. Null text: no spans. Repeated rows each come back.
+Offsets are code points of the whole text. Null and empty text: no spans. Repeated rows each come back; an empty table gives an empty table. Spans of equal starts are ordered by kind.
+Very long texts are read whole, by one task. Other columns pass through under any name; one named like ``out_col`` is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import let
+from quillspark.llm.common import let, packed, unpacked
 
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns. Key characters beyond the least length are asked for where a shorter match would be a whole run (access, hex).
@@ -29,14 +30,26 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 SAMPLES = 4000
 MARGIN, RATE = 8.0, 0.2
 SMOOTHING = 0.5
-#: Ordinary words of identifiers.
-WORDS = """account action active address admin after array async attribute base batch before block body bool border buffer build button bytes cache call
-cancel case center change channel char check child class clean clear client clone close code color column command commit compare config connect
-content context control convert copy count create current cursor data date debug default delete depth detail device dict direct disable document domain
-double download driver edit element email enable encode engine entry error event exact exception execute export extend factory field file filter find
-first flag float flush folder format frame from function general generate global graph group handle hash header height hidden host image import index info
-init inner input insert instance integer interface item iterator join json label language last layout length level library limit line link list listener load
-local lock logger login loop main manager""".split()
+#: Ordinary words of identifiers, over the whole alphabet.
+WORDS = [
+    "account", "action", "address", "admin", "array", "async", "attribute", "balance", "base", "batch", "block", "border", "buffer", "build", "button", "byte", "cache",
+    "call", "cancel", "channel", "check", "child", "class", "clean", "client", "clone", "code", "column", "command", "commit", "config", "connect", "content", "context",
+    "control", "convert", "copy", "count", "create", "cursor", "customer", "data", "date", "debug", "decode", "default", "delete", "detail", "device", "dict", "disable",
+    "document", "domain", "download", "driver", "edit", "element", "email", "enable", "encode", "engine", "entry", "error", "event", "exception", "execute", "export",
+    "factory", "field", "file", "filter", "find", "flag", "folder", "format", "frame", "function", "generate", "graph", "group", "guard", "handle", "hash", "header",
+    "height", "hidden", "host", "image", "import", "index", "info", "input", "insert", "instance", "integer", "item", "iterator", "join", "json", "key", "label",
+    "language", "layout", "length", "level", "library", "limit", "line", "link", "list", "listener", "load", "local", "lock", "logger", "login", "loop", "manager", "map",
+    "mask", "match", "member", "memory", "merge", "message", "method", "model", "module", "monitor", "mount", "name", "network", "next", "node", "notify", "null",
+    "number", "object", "offset", "open", "option", "order", "output", "owner", "package", "page", "panel", "parent", "parse", "password", "path", "pattern", "payment",
+    "pixel", "point", "policy", "port", "position", "prefix", "price", "print", "process", "product", "profile", "project", "property", "provider", "proxy", "public",
+    "query", "queue", "quota", "random", "range", "record", "refresh", "region", "remote", "render", "report", "repository", "request", "reset", "resource", "response",
+    "result", "role", "route", "row", "schema", "scope", "screen", "script", "search", "section", "select", "sender", "sequence", "server", "service", "session",
+    "setting", "shadow", "shape", "signal", "size", "socket", "sort", "source", "stack", "start", "state", "status", "storage", "stream", "string", "style", "submit",
+    "switch", "symbol", "sync", "system", "table", "target", "task", "template", "test", "text", "thread", "time", "title", "token", "topic", "total", "trace", "track",
+    "transaction", "tree", "trigger", "type", "unit", "update", "upload", "user", "utility", "validate", "value", "variable", "vector", "version", "video", "view",
+    "visible", "volume", "wait", "warning", "watch", "weight", "widget", "width", "window", "wizard", "worker", "wrapper", "write", "xml", "yaml", "year", "yield",
+    "zero", "zone", "zoom",
+]
 
 
 def places(text: Column, pattern: str, group: int = 0) -> Column:
@@ -72,16 +85,16 @@ def _pairs(text: Column) -> Column:
     return let(codes, lambda k: F.transform(F.slice(k, 2, F.greatest(F.size(k), F.lit(1))), lambda c, i: F.get(k, i) * len(ALPHABET) + c))
 
 
-def samples(spark: SparkSession, n: int = SAMPLES, first: int = 0) -> DataFrame:
-    """(s, random boolean): labelled samples, the same for the same range."""
+def samples(spark: SparkSession, n: int = SAMPLES, first: int = 0, ordinary_words: list[str] = WORDS) -> DataFrame:
+    """(s, random boolean): labelled samples, the same for the same range and words."""
     rows = spark.range(first, first + n)
     pick = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).cast("int")
     digest = F.sha2(F.concat(F.lit("s"), F.col("id").cast("string")), 512)
     size = pick("size", 28) + 20
     packed = F.regexp_replace(F.base64(F.unhex(digest)), r"[\r\n=]", "")
     random = F.element_at(F.array(F.substring(packed, F.lit(1), size), F.substring(digest, F.lit(1), size), F.substring(packed, F.lit(1), size), F.upper(F.substring(packed, F.lit(1), size))), pick("form", 4) + 1)
-    bank = F.from_json(F.lit(json.dumps(WORDS)), "array<string>")
-    words = F.transform(F.sequence(F.lit(0), pick("count", 4) + 2), lambda i: F.get(bank, F.pmod(F.xxhash64(F.col("id"), i), F.lit(len(WORDS))).cast("int")))
+    bank = F.from_json(F.lit(json.dumps(ordinary_words)), "array<string>")
+    words = F.transform(F.sequence(F.lit(0), pick("count", 4) + 2), lambda i: F.get(bank, F.pmod(F.xxhash64(F.col("id"), i), F.lit(len(ordinary_words))).cast("int")))
     camel = F.array_join(F.transform(words, lambda w: F.initcap(w)), "")
     ordinary = F.element_at(F.array(F.array_join(words, "_"), F.array_join(words, "-"), camel, F.array_join(words, "/"), F.upper(F.array_join(words, "_")), F.array_join(words, "")), pick("case", 6) + 1)
     ordinary = F.concat(ordinary, F.when(pick("tail", 5) == 0, pick("number", 1000).cast("string")).otherwise(""))
@@ -111,8 +124,8 @@ def find(df: DataFrame, model: list[float], text_col: str = "text", out_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     as_kind = lambda spans, k: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("rank"), F.lit(KINDS[k]).alias("kind"), x["end"].alias("end")))
     assign = F.filter(places(text, ASSIGN, 2), lambda x: F.length(x["own"]) >= 6)
-    step = df.withColumn("_base", F.concat(as_kind(assign, 0), as_kind(places(text, ACCESS), 1), as_kind(places(text, HEX), 2)))
-    clear = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    step = df.select(packed(df), text.alias("t"), F.concat(as_kind(assign, 0), as_kind(places(text, ACCESS), 1), as_kind(places(text, HEX), 2)).alias("base"))
+    clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     drawn = lambda x: (score(x["own"], model) >= F.greatest(F.lit(MARGIN), RATE * F.length(x["own"])))
-    step = step.withColumn("_more", as_kind(F.filter(places(text, TOKEN), lambda x: clear(x) & drawn(x)), 3))
-    return step.withColumn(out_col, F.array_sort(F.concat("_base", "_more"))).drop("_base", "_more")
+    step = step.withColumn("more", as_kind(F.filter(places(F.col("t"), TOKEN), lambda x: clear(x) & drawn(x)), 3))
+    return unpacked(step, df, F.array_sort(F.concat("base", "more")), out_col)
