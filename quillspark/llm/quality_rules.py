@@ -8,7 +8,8 @@ The raw counts come from every document. The target counts come from at most ``T
 bound for a fitted model, whose ids are broadcast. The model itself has ``BUCKETS`` numbers, whatever the corpus.
 
 Null text and null labels: no words, not trusted. A document without words has no score (null) and fails the base rules. Without trusted documents, or an
-empty corpus, all weights are 0. Repeated rows count each time.
+empty corpus, all weights are 0. Repeated rows count each time; an empty table gives an empty table. Equal scores are kept or rejected alike, and equal hashes of trusted ids are ordered by the id.
+Very long texts are read whole, by one task. Other columns pass through under any name; one named like ``out_col`` is replaced. The counts run when the plan is built.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import let, words
+from quillspark.llm.common import let, packed, unpacked, words
 
 BUCKETS = 10_000
 TRUSTED = 20_000
@@ -85,19 +86,19 @@ def with_rules(df: DataFrame, model: list[float], text_col: str = "text", bucket
     text = F.coalesce(F.col(text_col), F.lit(""))
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = df.withColumn("_w", words(text))
-    step = step.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_l", lines)
-    step = step.withColumn("_n", F.size("_w").cast("long")).withColumn("_r", repeat_words(F.col("_h"))).withColumn("_b", ngram_buckets(F.col("_h"), buckets))
-    step = step.withColumn("_s", F.when(F.size("_b") > 0, F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size("_b")))
-    failed = (F.col("_n") < 10) | (100 * F.col("_r") > 20 * F.col("_n"))
+    step = df.select(packed(df), text.alias("t"), words(text).alias("w"), lines.alias("l"))
+    step = step.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
+    step = step.withColumn("n", F.size("w").cast("long")).withColumn("r", repeat_words(F.col("h"))).withColumn("b", ngram_buckets(F.col("h"), buckets))
+    step = step.withColumn("s", F.when(F.size("b") > 0, F.aggregate("b", F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size("b")))
+    failed = (F.col("n") < 10) | (100 * F.col("r") > 20 * F.col("n"))
     rules = F.struct(
-        F.col("_n").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.col("_r").alias("n_repeat_words"),
+        F.col("n").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        F.col("r").alias("n_repeat_words"),
         failed.alias("base_failed"),
-        F.col("_s").alias("score"),
-        (~failed & (F.coalesce("_s", F.lit(0.0)) >= threshold)).alias("kept"),
+        F.col("s").alias("score"),
+        (~failed & (F.coalesce("s", F.lit(0.0)) >= threshold)).alias("kept"),
     )
-    return step.withColumn(out_col, rules).drop("_w", "_h", "_l", "_n", "_r", "_b", "_s")
+    return unpacked(step, df, rules, out_col)
