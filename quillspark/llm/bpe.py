@@ -15,17 +15,20 @@ Lengths alone (operator 6) need no positions: each task keeps the lengths of the
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches
+from quillspark.llm.common import released, small_batches
 
 #: Fixed value: how the byte-level vocabulary splits a text into words.
 WORD_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Words of a block laid out at once, about.
+LAY_WORDS = 500_000
 #: A task's table of lengths is emptied beyond so many words, which bounds its memory and changes no result.
 TABLE_WORDS = 1_000_000
 
@@ -121,49 +124,69 @@ def word_ids(words: DataFrame, tokenizer: str) -> DataFrame:
                 found = [last[w] if k not in ids else np.array(ids[k], "<u4").tobytes() for k, w in enumerate(distinct)]
                 last = {distinct[index[-1]]: found[index[-1]]}
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary()).take(pa.array(index))], names=["at", "piece", "ids"])
+        table = last = None
+        released()
 
     return words.repartition("odd", "word").sortWithinPartitions("odd", "word").mapInArrow(run, "at int, piece string, ids binary")
 
 
-def laid_out(rows, table):
-    """row_id, n_tokens and ids of a block's rows (row_id, odd, words), by position; ``table``: the block's words (piece, ids)."""
+def laid_out(rows, table, pieces=None):
+    """row_id, n_tokens and ids of a block's rows (row_id, block, odd, words), by position; ``table``: the block's words (at, piece, ids). With ``pieces`` (see ``piece_arrays``) also the decoded text."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     rows, table = rows.combine_chunks(), table.combine_chunks()
-    flat, counts = pc.list_flatten(rows.column("words")), pc.list_value_length(rows.column("words")).to_numpy()
-    parents = np.repeat(np.arange(len(counts)), counts)
     # a text that the tokenizer splits never equals a word of the others: it holds a special token or an unknown code point
-    at = pc.index_in(flat, value_set=table.column("piece")).to_numpy() if len(flat) else np.zeros(0, np.int64)
-    ids = table.column("ids").to_pylist()
+    piece, ids = table.column("piece").combine_chunks(), table.column("ids").to_pylist()
     size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
     first = np.concatenate([[0], np.cumsum(size)])[:-1]
-    each = size[at]
-    ends = np.cumsum(each)
     pool = np.frombuffer(b"".join(ids), "<u4")
-    laid = pool[np.repeat(first[at] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-    n_tokens = np.bincount(parents, each, len(counts)).astype(np.int64)
-    stops = np.cumsum(n_tokens) * 4
-    out = pa.array([laid[b - 4 * n : b] for b, n in zip(stops.tolist(), n_tokens.tolist())], pa.binary())
-    return pa.table({"row_id": rows.column("row_id"), "n_tokens": pa.array(n_tokens), "ids": out})
+    del ids
 
-
-def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(``id_col``, n_tokens long, ids binary: little-endian unsigned 32-bit), one row for each row of ``df``. tokenizer: path of a byte-level tokenizer file."""
+    def part(words):
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        flat = pc.list_flatten(words)
+        at = pc.index_in(flat, value_set=piece).to_numpy() if len(flat) else np.zeros(0, np.int64)
+        each = size[at]
+        ends = np.cumsum(each)
+        laid = pool[np.repeat(first[at] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+        tokens = np.bincount(np.repeat(np.arange(len(counts)), counts), each, len(counts)).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(tokens)])
+        raw = laid.tobytes()
+        out = [pa.array(tokens), pa.array([raw[4 * a : 4 * b] for a, b in itertools.pairwise(bounds.tolist())], pa.binary())]
+        return [*out, pa.array(decoded(laid, bounds, pieces), pa.string())] if pieces else out
+
+    done, words = [], rows.column("words")
+    total = np.cumsum(pc.list_value_length(words).to_numpy()) // LAY_WORDS
+    cuts = [0, *(np.flatnonzero(np.diff(total)) + 1).tolist(), len(words)]
+    for a, b in zip(cuts, cuts[1:]):
+        done.append(part(words.slice(a, b - a).combine_chunks()))
+    names = ["n_tokens", "ids", *["decoded"] * bool(pieces)]
+    out = pa.table({"row_id": rows.column("row_id"), **{n: pa.chunked_array([x[k] for x in done]) for k, n in enumerate(names)}})
+    done.clear()
+    released()
+    return out
+
+
+def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded_col: str | None = None) -> DataFrame:
+    """(``id_col``, n_tokens long, ids binary: little-endian unsigned 32-bit), one row for each row of ``df``. tokenizer: path of a byte-level tokenizer file. decoded_col: also the text that the ids decode to, joined to their pieces in the same task."""
     small_batches(df.sparkSession)
+    pieces = df.sparkSession.sparkContext.broadcast(piece_arrays(tokenizer)) if decoded_col else None
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     block = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(-(-total // block_bytes) or 1)).cast("int")
     rows = df.select(F.col(id_col).alias("row_id"), text.alias("text"), block.alias("block")).repartition("block")  # both uses below have this exchange
-    rows = rows.select("row_id", "block", *split_columns(F.col("text"), specials_of(tokenizer)))
+    split = split_columns(F.col("text"), specials_of(tokenizer))
     # asks for the ids too, whose residue by one is always 0: else the columns and so the exchange would differ from those of the other use
     own = F.when(F.pmod(F.xxhash64("row_id"), F.lit(1)) == 0, F.array_distinct("words"))
-    words = rows.select("block", "odd", F.explode(own).alias("word")).distinct()
+    words = rows.select("row_id", "block", *split).select("block", "odd", F.explode(own).alias("word")).distinct()
     asked = word_ids(words, tokenizer)
     kind = df.schema[id_col].dataType.simpleString()
-    out = rows.groupBy("block").cogroup(asked.groupBy("at")).applyInArrow(laid_out, f"row_id {kind}, n_tokens long, ids binary")
-    return out.withColumnRenamed("row_id", id_col)
+    rows = rows.sortWithinPartitions("block").select("row_id", "block", *split)  # sorted as texts, which take less room than words
+    lay = (lambda rows, table: laid_out(rows, table, pieces.value)) if decoded_col else (lambda rows, table: laid_out(rows, table))
+    out = rows.groupBy("block").cogroup(asked.groupBy("at")).applyInArrow(lay, f"row_id {kind}, n_tokens long, ids binary" + ", decoded string" * bool(decoded_col))
+    return out.select(F.col("row_id").alias(id_col), "n_tokens", "ids", *([F.col("decoded").alias(decoded_col)] if decoded_col else []))
 
 
 def encoded_lengths(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,6 +203,8 @@ def encoded_lengths(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             if b.num_rows:
                 table = table or WordTable(model.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(table.lengths(b.column(1).to_pylist(), b.column(2)), pa.int64())], names=["row_id", "n_tokens"])
+        table = None
+        released()
 
     kind = df.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"row_id {kind}, n_tokens long").withColumnRenamed("row_id", id_col)
@@ -198,31 +223,40 @@ def piece_table(tokenizer: str) -> list[bytes]:
     return pieces
 
 
-def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with ``out_col``, the text of the little-endian ids of ``ids_col``, by a join with the table of pieces, which has a row for each id of the vocabulary. Null: null."""
+def piece_arrays(tokenizer: str) -> tuple:
+    """Bytes of all pieces, where each id's begin, and their sizes."""
     import numpy as np
 
     pieces = piece_table(tokenizer)
     sizes = np.array([len(p) for p in pieces], np.int64)
-    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes))
+    return np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes
+
+
+def decoded(ids, bounds, pieces: tuple) -> list[str]:
+    """Texts of the ids between neighbouring ``bounds``: each id looks up its piece."""
+    import numpy as np
+
+    data, first, sizes = pieces
+    n = sizes[ids]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    raw = data[np.repeat(first[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(ends[bounds].tolist())]
+
+
+def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``df`` with ``out_col``, the text of the little-endian ids of ``ids_col``, by a join with the table of pieces, which has a row for each id of the vocabulary. Null: null."""
+    shared = df.sparkSession.sparkContext.broadcast(piece_arrays(tokenizer))
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        data, first, sizes = shared.value
         for b in batches:
-            texts = []
-            for x in b.column(at):
-                x = x.as_py()
-                if x is not None:
-                    ids = np.frombuffer(x, "<u4")
-                    n = sizes[ids]
-                    end = np.cumsum(n)
-                    x = data[np.repeat(first[ids] - end + n, n) + np.arange(end[-1])].tobytes().decode("utf-8", "replace") if len(ids) else ""
-                texts.append(x)
+            ids = [None if x is None else np.frombuffer(x, "<u4") for x in b.column(at).to_pylist()]
+            texts = [None if x is None else decoded(x, np.array([0, len(x)]), shared.value)[0] for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
+        released()
 
     from pyspark.sql import types as T
 

@@ -23,6 +23,21 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def released() -> None:
+    """Gives memory that a Python worker no longer needs back to the system: idle workers stay beside those of later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the folder that the cluster shares (spark.checkpoint.dir); only where that is unset, as in tests, a folder of our own."""
     context = df.sparkSession.sparkContext
