@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.session import cut  # noqa: F401
+
 #: Rows of whole documents in one Arrow batch: bounds the memory of a Python worker.
 BATCH_ROWS = 1000
+#: Bytes in one, which bounds it where texts are long.
+BATCH_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,8 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Whole documents are long, so Arrow batches hold few of them."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") != str(BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def released() -> None:
@@ -38,14 +42,6 @@ def released() -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that the cluster shares (spark.checkpoint.dir); only where that is unset, as in tests, a folder of our own."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
