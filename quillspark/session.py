@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -32,10 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder that the cluster shares (spark.checkpoint.dir), or in one of our own where that is unset."""
+    """``df`` computed once, in the folder that the cluster shares (spark.checkpoint.dir). Only a local session without that setting gets a folder of its own."""
     import tempfile
 
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint()
