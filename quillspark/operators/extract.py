@@ -187,10 +187,10 @@ ISSUES = [
     r"^[（(][^（()）]*?(公告[^（()）][0-9]{4}[^（()）]第?[0-9]+号)[^（()）]*?[)）]$",
 ]
 KEYWORDS = {
-    "THIS_LAW": "该法",
-    "LAW_SELF": "本法 本条例 本通知 本细则 本修正案 本解释 本决定 本规定 本公告 本函 本批复 本规则 本实施细则 本标准 本指引 本办法 本通告 本指南 本审查指南 本节 本章",
-    "EXCLUDED": "公司法人 公司法定 罪刑法定 国家赔偿法溯及 个人所得税法定 残疾人保障法人",
-}
+    "THIS_LAW": ["该法"],
+    "LAW_SELF": ["本法", "本条例", "本通知", "本细则", "本修正案", "本解释", "本决定", "本规定", "本公告", "本函", "本批复", "本规则", "本实施细则", "本标准", "本指引", "本办法", "本通告", "本指南", "本审查指南", "本节", "本章"],
+    "EXCLUDED": ["公司法人", "公司法定", "罪刑法定", "国家赔偿法溯及", "个人所得税法定", "残疾人保障法人"],
+}
 ABBREVIATIONS = {
     "公司法": "中华人民共和国公司法", "劳动合同法": "中华人民共和国劳动合同法", "民事诉讼法": "中华人民共和国民事诉讼法", "刑事诉讼法": "中华人民共和国刑事诉讼法",
     "行政诉讼法": "中华人民共和国行政诉讼法", "民法典": "中华人民共和国民法典", "刑法": "中华人民共和国刑法", "行政复议法": "中华人民共和国行政复议法", "商标法": "中华人民共和国商标法",
@@ -264,7 +264,7 @@ def articles(text: str) -> list[Entity]:
     return [Entity(*i, "LAW_ARTICLE", str(n)) for i, n in numbered if n is not None]
 
 
-_STATIC = {w: kind for kind, words in KEYWORDS.items() for w in words.split()} | dict.fromkeys(ABBREVIATIONS, "LAW_ABBR") | dict.fromkeys(PROMULGATORS, "PROMULGATOR")
+_STATIC = {w: kind for kind, words in KEYWORDS.items() for w in words} | dict.fromkeys(ABBREVIATIONS, "LAW_ABBR") | dict.fromkeys(PROMULGATORS, "PROMULGATOR")
 
 
 _static = keywords(_STATIC, ignore_overlaps=True)
