@@ -23,7 +23,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Whole documents are long, so Arrow batches hold few of them."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") != str(BATCH_BYTES):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(BATCH_BYTES):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
