@@ -5,9 +5,10 @@ Equal texts are one text first; a text with copies is removed whole. Over the di
 1. Anchors. In every window of 200 bytes the 48-byte strings of least hash are anchors, so two equal windows hold the same anchor at
    the same place. Anchors whose hash occurs once can't lie in a repeated window and leave here.
 2. Runs. Each task sorts the suffixes that start at its remaining anchors (200 bytes, with the 152 bytes before as payload),
-   front-codes them against their predecessor and sends one run for each bucket of hashes. Equal neighbours cost no bytes.
-3. Merge. A bucket's runs meet in a loser tree that keeps for each contestant the length of its prefix shared with the last winner: unequal lengths
-   decide without a look at the strings, equal ones are compared from there on. It yields the sorted suffixes with their common prefixes (LCP).
+   front-codes them against their predecessor and sends one run for each bucket of hashes, in chunks. Equal neighbours cost no bytes.
+3. Merge. Spark sorts a partition's chunks by their first suffix, and spills if need be; the chunks that overlap meet in loser trees that keep for each contestant the
+   length of its prefix shared with the last winner: unequal lengths decide without a look at the strings, equal ones are compared from there on.
+   The sorted suffixes stream out with their common prefixes (LCP), so a partition may be larger than the memory of its task; a group of step 4 may not.
 4. Windows. Suffixes with a common prefix of an anchor's length form a group. A window that starts ``o`` bytes before the anchor repeats if another
    member shares ``o`` bytes to the left and ``200 - o`` to the right. The LCP array gives classes for the right, the sorted
    left sides those for the left; no pairs of a large group are listed.
@@ -20,7 +21,7 @@ Null text: empty. Texts under 200 bytes lose nothing. Repeated rows are copies o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,10 @@ ANCHOR = 48
 CHUNK = 1 << 19
 #: Suffixes in a task's runs before they are sent.
 RUN = 60_000
+#: Suffixes in a chunk of a run, the unit that a merge opens.
+ENTRIES = 256
+#: Chunks that a merge opens at once, at least.
+OPENED = 16
 
 
 def _mixed(seed: int, n: int):
@@ -149,46 +154,78 @@ def front_decode(run: bytes, payload: int) -> Iterator[tuple[int, bytes, bytes,
         at += payload
 
 
-def merge(runs: list[bytes], payload: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """All entries of sorted front-coded runs in order, each with its common prefix with the one before: a loser tree over common prefixes."""
-    sources = [front_decode(r, payload) for r in runs]
-    k = 1
-    while k < len(sources):
-        k *= 2
-    heads: list[tuple | None] = [next(s, None) for s in sources] + [None] * (k - len(sources))
-    known = [0] * k  # common prefix of each head with the last winner
-    losers = [-1] * k
-
-    def play(a: int, b: int) -> tuple[int, int]:
-        """(winner, loser) of two heads; the loser's known prefix becomes the one with the winner."""
-        x, y = heads[a], heads[b]
-        if x is None or y is None:
-            return (a, b) if y is None else (b, a)
-        p, q = known[a], known[b]
-        if p != q:
-            return (a, b) if p > q else (b, a)
-        s, t = x[1], y[1]
-        n = shared_prefix(s, t, p)
-        if n == len(s) or (n < len(t) and s[n] < t[n]):
-            known[b] = n
-            return a, b
-        known[a] = n
-        return b, a
-
-    winners = [0] * (2 * k)
-    winners[k:] = range(k)
-    for node in range(k - 1, 0, -1):
-        winners[node], losers[node] = play(winners[2 * node], winners[2 * node + 1])
-    top = winners[1] if k > 1 else 0
-    while heads[top] is not None:
-        head = heads[top]
-        yield known[top], head[1], head[2], head[3]
-        heads[top] = following = next(sources[top], None)
-        known[top] = following[0] if following else 0
-        node = (top + k) // 2
-        while node:
-            top, losers[node] = play(top, losers[node])
-            node //= 2
+def merge(chunks: Iterable[bytes], payload: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """All entries of sorted front-coded chunks in order, each with its common prefix with the one before: loser trees over common prefixes.
+
+    The chunks come in the order of their first suffixes and are opened as they are needed: a tree plays until the chunk opened last would win, then the next
+    tree takes over what is left of its contestants, with the prefixes known. Only chunks that overlap are held.
+    """
+    waiting = (front_decode(c, payload) for c in chunks)
+    open_: list[tuple] = []  # (common prefix of its head with the last winner, head, rest)
+    last, more = b"", True
+    while more or open_:
+        for _ in range(max(OPENED, len(open_))):  # what a new tree costs is paid by as many new chunks
+            rest = next(waiting, None)
+            if rest is None:
+                more = False
+                break
+            head = next(rest)
+            open_.append((shared_prefix(last, head[1]), head, rest))
+        if not open_:
+            return
+        gate = len(open_) - 1 if more else -1  # no chunk still to come starts before this one
+        k = 1
+        while k < len(open_):
+            k *= 2
+        heads: list[tuple | None] = [x[1] for x in open_] + [None] * (k - len(open_))
+        sources = [x[2] for x in open_]
+        known = [x[0] for x in open_] + [0] * (k - len(open_))  # common prefix of each head with the last winner, of a loser with the winner of its match
+        losers = [-1] * k
+
+        def play(a: int, b: int, heads=heads, known=known) -> tuple[int, int]:
+            """(winner, loser) of two heads; the loser's known prefix becomes the one with the winner."""
+            x, y = heads[a], heads[b]
+            if x is None or y is None:
+                return (a, b) if y is None else (b, a)
+            p, q = known[a], known[b]
+            if p != q:
+                return (a, b) if p > q else (b, a)
+            s, t = x[1], y[1]
+            n = shared_prefix(s, t, p)
+            if n == len(s) or (n < len(t) and s[n] < t[n]):
+                known[b] = n
+                return a, b
+            known[a] = n
+            return b, a
+
+        winners = [0] * (2 * k)
+        winners[k:] = range(k)
+        for node in range(k - 1, 0, -1):
+            winners[node], losers[node] = play(winners[2 * node], winners[2 * node + 1])
+        top = winners[1] if k > 1 else 0
+        while heads[top] is not None and top != gate:
+            head = heads[top]
+            last = head[1]
+            yield known[top], last, head[2], head[3]
+            heads[top] = following = next(sources[top], None)
+            known[top] = following[0] if following else 0
+            node = (top + k) // 2
+            while node:
+                top, losers[node] = play(top, losers[node])
+                node //= 2
+        # sorted strings share with the last winner the least of what neighbours on the way down share
+        open_, below = [], [(1, top, known[top])]
+        while below:
+            node, winner, shared = below.pop()
+            if heads[winner] is None:
+                continue
+            if node >= k:
+                open_.append((shared, heads[winner], sources[winner]))
+                continue
+            child = winner + k
+            while child // 2 != node:
+                child //= 2
+            below += [(child, winner, shared), (child ^ 1, losers[node], min(shared, known[losers[node]]))]
 
 
 def _left_order(lefts: list[bytes]):
@@ -236,8 +273,8 @@ def repeated(lcps: list[int], suffixes: list[bytes], lefts: list[bytes], length:
     return [(a, b) if b >= a else None for a, b in zip(low.tolist(), high.tolist())]
 
 
-def spans_of_bucket(runs: list[bytes], length: int, anchor: int, payload: int) -> Iterator[tuple[bytes, int, int]]:
-    """(payload, bytes before the anchor, bytes from it) that repeat, for each suffix of a bucket with any."""
+def repeated_spans(chunks: Iterable[bytes], length: int, anchor: int, payload: int) -> Iterator[tuple[bytes, int, int]]:
+    """(payload, bytes before the anchor, bytes from it) that repeat, for each suffix of the chunks (as ``merge`` takes them) with any."""
 
     def close(group: list) -> Iterator[tuple[bytes, int, int]]:
         if len(group) < 2 and len(group[0][3]) < 2:
@@ -254,7 +291,7 @@ def spans_of_bucket(runs: list[bytes], length: int, anchor: int, payload: int) -
 
     group: list = []
     places: dict[bytes, int] = {}
-    for lcp, suffix, left, p in merge(runs, payload):
+    for lcp, suffix, left, p in merge(chunks, payload):
         if group and lcp < anchor:
             yield from close(group)
             group, places = [], {}
@@ -313,8 +350,9 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
         n = 0
 
         def send() -> pa.RecordBatch:
-            rows = [(k, front_code(sorted(x))) for k, x in enumerate(held) if x]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "run"])
+            rows = [(k, x[i][0], front_code(x[i : i + ENTRIES])) for k, x in enumerate(map(sorted, held)) for i in range(0, len(x), ENTRIES)]
+            kinds = (pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "first", "chunk"])
 
         for b in batches:
             for k1, k2, text, places, hashes in zip(*(c.to_pylist() for c in b.columns[:5])):
@@ -329,20 +367,22 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
         if n:
             yield send()
 
-    sent = texts.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places", "hashes", "copies").mapInArrow(runs, "bucket int, run binary")
+    sent = texts.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places", "hashes", "copies").mapInArrow(runs, "bucket int, first binary, chunk binary")
 
-    def merged(pdf):
+    def merged(batches: Iterator) -> Iterator:
+        import itertools
         import struct
 
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        out = []
-        for p, before, beyond in spans_of_bucket(pdf["run"].tolist(), length, anchor, payload):
-            k1, k2, at = struct.unpack("<qii", p)
-            out.append((k1, k2, at - before, at + beyond))
-        return pd.DataFrame(out, columns=["k1", "k2", "start", "end"])
+        chunks = (x.as_py() for b in batches for x in b.column(0))
+        found = repeated_spans(chunks, length, anchor, payload)
+        while rows := [(*struct.unpack("<qii", p), before, beyond) for p, before, beyond in itertools.islice(found, RUN)]:
+            k1, k2, at, before, beyond = (pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.int32()] * 4)))
+            yield pa.RecordBatch.from_arrays([k1, k2, pc.subtract(at, before), pc.add(at, beyond)], names=["k1", "k2", "start", "end"])
 
-    return sent.groupBy("bucket").applyInPandas(merged, "k1 long, k2 int, start int, end int")
+    return sent.repartition("bucket").sortWithinPartitions("first").select("chunk").mapInArrow(merged, "k1 long, k2 int, start int, end int")
 
 
 def deduplicated(df: DataFrame, text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:

@@ -162,15 +162,19 @@ def test_suffix_core(seed):
         texts.add(t)
     texts = sorted(texts)
     h, owner, at = suffix_dedup.Anchors(n, a).of(texts)
-    runs = []
+    chunks = []
     for part in range(4):
         entries = [(texts[t][p : p + n], texts[t][max(0, p - n + a) : p][::-1], bytes((t,)) + int(p).to_bytes(4, "little")) for t, p in zip(owner.tolist(), at.tolist()) if t % 4 == part]
-        runs.append(suffix_dedup.front_code(sorted(entries)))
-        assert [(s, x, p) for _, s, x, p in suffix_dedup.front_decode(runs[-1], 5)] == sorted(entries)
-    merged = [s for _, s, _, _ in suffix_dedup.merge(runs, 5)]
-    assert merged == sorted(merged) and len(merged) == len(h)
+        entries.sort()
+        assert [(s, x, p) for _, s, x, p in suffix_dedup.front_decode(suffix_dedup.front_code(entries), 5)] == entries
+        size = r.choice([1, 3, 1000])
+        chunks += [(entries[i][0], suffix_dedup.front_code(entries[i : i + size])) for i in range(0, len(entries), size)]
+    chunks = [c for _, c in sorted(chunks, key=lambda x: x[0])]
+    merged = [(lcp, s) for lcp, s, _, _ in suffix_dedup.merge(iter(chunks), 5)]
+    assert [s for _, s in merged] == sorted(texts[t][p : p + n] for t, p in zip(owner.tolist(), at.tolist()))
+    assert all(lcp == suffix_dedup.shared_prefix(a, b) for (_, a), (lcp, b) in zip(merged, merged[1:]))
     mark = [[False] * len(t) for t in texts]
-    for p, before, beyond in suffix_dedup.spans_of_bucket(runs, n, a, 5):
+    for p, before, beyond in suffix_dedup.repeated_spans(chunks, n, a, 5):
         for k in range(int.from_bytes(p[1:], "little") - before, int.from_bytes(p[1:], "little") + beyond):
             mark[p[0]][k] = True
     counts = collections.Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
