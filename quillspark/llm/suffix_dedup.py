@@ -3,7 +3,7 @@
 Equal texts are one text first; a text with copies is removed whole. Over the distinct texts:
 
 1. Anchors. In every window of 200 bytes the 48-byte strings of least hash are anchors, so two equal windows hold the same anchor at
-   the same place. Anchors whose hash occurs once can't lie in a repeated window and leave here.
+   the same place. Anchors whose hash occurs once can't lie in a repeated window and leave here. Places of a hot anchor don't meet in one task for that.
 2. Runs. Each task sorts the suffixes that start at its remaining anchors (200 bytes, with the 152 bytes before as payload),
    front-codes them against their predecessor and sends one run for each bucket of hashes, in chunks. Equal neighbours cost no bytes.
 3. Merge. Spark sorts a partition's chunks by their first suffix, and spills if need be; the chunks that overlap meet in loser trees that keep for each contestant the
@@ -17,6 +17,7 @@ Equal texts are one text first; a text with copies is removed whole. Over the di
 Texts are shuffled once, by their hash. Everything is decided on the bytes; hashes only choose candidates.
 
 Null text: empty. Texts under 200 bytes lose nothing. Repeated rows are copies of each other. Null ids pass through.
+The bytes are summed when the plan is built.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ ANCHOR = 48
 CHUNK = 1 << 19
 #: Suffixes in a task's runs before they are sent.
 RUN = 60_000
+#: An anchor that occurs more often than this is broadcast as hot; in a corpus of more than HOT * HOT_ANCHORS bytes, one that occurs more often than once in HOT_ANCHORS bytes.
+#: Anchors are fewer than bytes, so at most HOT_ANCHORS are hot, whatever the corpus.
+HOT = 10_000
+HOT_ANCHORS = 1 << 20
 #: Suffixes in a chunk of a run, the unit that a merge opens.
 ENTRIES = 256
 #: Chunks that a merge opens at once, at least.
@@ -320,8 +325,8 @@ def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
     return rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
-def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(k1, k2, start, end): byte spans of repeated windows of distinct texts; their union is what repeats."""
+def repeats(texts: DataFrame, hot: int, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """(k1, k2, start, end): byte spans of repeated windows of distinct texts; their union is what repeats. Anchors that occur more than ``hot`` times are broadcast."""
     spark = texts.sparkSession
     small_batches(spark)
 
@@ -336,8 +341,13 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
 
     # all columns of the texts here and below: one exchange then serves every use
     found = texts.select("k1", "k2", "text", "copies").mapInArrow(anchors, "h long, k1 long, k2 int, at int")
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    places = found.join(shared, "h").groupBy("k1", "k2").agg(F.collect_list("at").alias("places"), F.collect_list("h").alias("hashes"))
+    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # what occurs often is known to be shared without meeting its count, so its places stay spread
+    often = counts.where(F.col("n") > hot).select("h", F.lit(True).alias("often"))
+    spread = F.when(F.col("often"), F.xxhash64("h", "k1", "k2", "at")).otherwise(F.col("h"))
+    met = found.join(F.broadcast(often), "h", "left").withColumn("meets", spread)
+    met = met.join(counts.select(F.col("h").alias("meets"), F.lit(True).alias("shared")), "meets", "left").where("often or shared")
+    places = met.groupBy("k1", "k2").agg(F.collect_list("at").alias("places"), F.collect_list("h").alias("hashes"))
     buckets = shuffle_partitions(spark)
     payload = 16
 
@@ -388,7 +398,9 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
 def deduplicated(df: DataFrame, text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """For each different text: (k1, k2 as of ``text_keys``, n_bytes, spans: maximal removed byte runs, kept binary)."""
     texts = distinct_texts(df, text_col)
-    spans = repeats(texts, length, anchor).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    n_bytes = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    hot = max(HOT, n_bytes // HOT_ANCHORS)
+    spans = repeats(texts, hot, length, anchor).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
     def remove(batches: Iterator) -> Iterator:
         import pyarrow as pa

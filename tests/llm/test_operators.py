@@ -140,7 +140,9 @@ def brute_suffix(texts, n=200):
     return out
 
 
-def test_suffix_dedup(docs):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_suffix_dedup(docs, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = by_id(suffix_dedup.dedup(docs))
     extended = [*TEXTS, TEXTS[12], "no id"]
     for i, kept in enumerate(brute_suffix(extended)[: len(TEXTS)]):
