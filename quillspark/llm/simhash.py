@@ -113,11 +113,13 @@ def forests(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     counts = {r["pop"]: r["n"] for r in nodes.groupBy(pop.alias("pop")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 65 rows
     parts = F.element_at(F.array(*[F.lit(-(-counts.get(p, 0) // tile) or 1) for p in range(65)]), F.col("pop") + 1)
     keyed = nodes.select("fp", pop.alias("pop")).withColumn("sub", F.pmod(F.xxhash64("fp"), parts).cast("int"))
-    tiles = keyed.groupBy("pop", "sub").agg(F.collect_list("fp").alias("fps"))  # a tile has a bounded size
-    tiles = tiles.withColumn("tile", F.struct("pop", "sub"))
-    left = tiles.select(F.col("tile").alias("ta"), F.col("fps").alias("a"), F.explode(F.sequence("pop", F.col("pop") + radius)).alias("at"))
-    right = tiles.select(F.col("pop").alias("at"), F.col("tile").alias("tb"), F.col("fps").alias("b"))
-    pairs = left.join(right, "at").where("ta <= tb").select("a", F.when(F.col("ta") != F.col("tb"), F.col("b")).alias("b"))
+    tiles = keyed.groupBy("pop", "sub").agg(F.collect_list("fp").alias("fps")).select(F.struct("pop", "sub").alias("tile"), "fps")  # a tile has a bounded size
+    # pairs of tiles meet as ids; the fingerprints come to them one tile at a time
+    ids = keyed.select("pop", "sub").distinct().select("pop", F.struct("pop", "sub").alias("tile"))
+    left = ids.select(F.col("tile").alias("ta"), F.explode(F.sequence("pop", F.col("pop") + radius)).alias("at"))
+    pairs = left.join(ids.select(F.col("pop").alias("at"), F.col("tile").alias("tb")), "at").where("ta <= tb").select("ta", "tb")
+    pairs = pairs.join(tiles.select(F.col("tile").alias("ta"), F.col("fps").alias("a")), "ta").join(tiles.select(F.col("tile").alias("tb"), F.col("fps").alias("b")), "tb")
+    pairs = pairs.select("a", F.when(F.col("ta") != F.col("tb"), F.col("b")).alias("b"))
     pairs = pairs.repartition(max(64, shuffle_partitions(spark)))
 
     def run(batches: Iterator) -> Iterator:
