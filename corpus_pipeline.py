@@ -1,4 +1,4 @@
-"""A corpus pipeline of five stages: quality rules, line dedup, near-dedup by shingles, benchmark decontamination, BPE encoding and decoding.
+"""A corpus pipeline of five stages: quality rules, line dedup, near-dedup by SimHash, benchmark decontamination, BPE encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir) and returns all that it keeps; all but the last return the columns of documents.
 """
@@ -37,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8): that of the smallest id. Repeated rows of it are one."""
+    """One document of each group of near-duplicates (SimHash fingerprints of five-word shingles, decided by their Jaccard similarity of 0.8): that of the smallest id. Repeated rows of it are one."""
     keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_k1"), F.hash(*COLUMNS).alias("_k2"))
     found = near_copies.classes(keyed, ["_k1", "_k2"], ["doc_id"])
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")

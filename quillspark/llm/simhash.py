@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, shuffle_partitions, small_batches
@@ -81,10 +81,15 @@ def close_pairs(a, b, radius: int, same: bool):
 
 def forest(a, b, radius: int, same: bool) -> list[tuple[int, int]]:
     """Links that span the components of all links between two tiles (or within one)."""
+    return spanning(close_pairs(a, b, radius, same), len(a), len(b), same)
+
+
+def spanning(pairs, n_a: int, n_b: int, same: bool) -> list[tuple[int, int]]:
+    """Of ``pairs`` (blocks of positions in two tiles, or twice in one) those that span their components."""
     import numpy as np
 
-    shift = 0 if same else len(a)
-    root = np.arange(shift + len(b))
+    shift = 0 if same else n_a
+    root = np.arange(shift + n_b)
     kept = []
 
     def find(k: int) -> int:
@@ -93,7 +98,7 @@ def forest(a, b, radius: int, same: bool) -> list[tuple[int, int]]:
             k = root[k]
         return k
 
-    for x, y in close_pairs(a, b, radius, same):
+    for x, y in pairs:
         y = y + shift
         while (root[root] != root).any():
             root = root[root]
@@ -106,21 +111,26 @@ def forest(a, b, radius: int, same: bool) -> list[tuple[int, int]]:
     return kept
 
 
-def forests(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """(a, b): links between fingerprints of ``nodes`` (fp distinct) that span the components of all links within the radius."""
+def tile_pairs(nodes: DataFrame, value: Column, key: Column, top: int, reach: int, tile: int) -> DataFrame:
+    """(a, b): the ``value`` of all ``nodes`` in each pair of tiles whose keys (0 to ``top``) differ by ``reach`` at most; b is null where a tile meets itself."""
     spark = nodes.sparkSession
-    pop = F.bit_count("fp").cast("int")
-    counts = {r["pop"]: r["n"] for r in nodes.groupBy(pop.alias("pop")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 65 rows
-    parts = F.element_at(F.array(*[F.lit(-(-counts.get(p, 0) // tile) or 1) for p in range(65)]), F.col("pop") + 1)
-    keyed = nodes.select("fp", pop.alias("pop")).withColumn("sub", F.pmod(F.xxhash64("fp"), parts).cast("int"))
+    keyed = nodes.select(value.alias("fp"), key.cast("int").alias("pop"))
+    counts = {r["pop"]: r["n"] for r in keyed.groupBy("pop").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each key at most
+    parts = F.element_at(F.array(*[F.lit(-(-counts.get(p, 0) // tile) or 1) for p in range(top + 1)]), F.col("pop") + 1)
+    keyed = keyed.withColumn("sub", F.pmod(F.xxhash64("fp"), parts).cast("int"))
     tiles = keyed.groupBy("pop", "sub").agg(F.collect_list("fp").alias("fps")).select(F.struct("pop", "sub").alias("tile"), "fps")  # a tile has a bounded size
     # pairs of tiles meet as ids; the fingerprints come to them one tile at a time
     ids = keyed.select("pop", "sub").distinct().select("pop", F.struct("pop", "sub").alias("tile"))
-    left = ids.select(F.col("tile").alias("ta"), F.explode(F.sequence("pop", F.col("pop") + radius)).alias("at"))
+    left = ids.select(F.col("tile").alias("ta"), F.explode(F.sequence("pop", F.col("pop") + reach)).alias("at"))
     pairs = left.join(ids.select(F.col("pop").alias("at"), F.col("tile").alias("tb")), "at").where("ta <= tb").select("ta", "tb")
     pairs = pairs.join(tiles.select(F.col("tile").alias("ta"), F.col("fps").alias("a")), "ta").join(tiles.select(F.col("tile").alias("tb"), F.col("fps").alias("b")), "tb")
     pairs = pairs.select("a", F.when(F.col("ta") != F.col("tb"), F.col("b")).alias("b"))
-    pairs = pairs.repartition(max(64, shuffle_partitions(spark)))
+    return pairs.repartition(max(64, shuffle_partitions(spark)))
+
+
+def forests(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """(a, b): links between fingerprints of ``nodes`` (fp distinct) that span the components of all links within the radius."""
+    pairs = tile_pairs(nodes, F.col("fp"), F.bit_count("fp"), 64, radius, tile)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np

@@ -63,3 +63,48 @@ def test_components_in_tiles(spark):
         for x in got:
             of.setdefault(x["class"], set()).add(x["doc_id"])
         assert len(got) == 50 and sorted(map(sorted, (v for v in of.values() if None not in v))) == [[100 * c + i for i in range(12)] for c in range(4)]
+
+
+def test_fingerprints_are_operator_8s():
+    import numpy as np
+    from quillspark.llm import simhash
+
+    r = random.Random(5)
+    for n in (1, 4, 5, 6, 300, 700):
+        text = " ".join(str(r.getrandbits(60)) for _ in range(n))
+        fp = near_copies.fingerprint(near_copies.shingles(text, 5))
+        assert int(fp[0]) == simhash.fingerprint(text, 5) and len(set(fp.tolist())) == near_copies.WORDS
+    assert not near_copies.fingerprint(np.zeros(0, np.uint64)).any()
+
+
+def test_candidates_are_all_close_fingerprints(spark):
+    """The components of the candidates against all pairs of fingerprints, and no pair at the bound is missed."""
+    import numpy as np
+    from quillspark.llm import simhash
+
+    rng = np.random.default_rng(7)
+    sets = []
+    for n in (1, 2, 4, 5, 5, 8, 9, 9, 16, 90, 300):
+        for _ in range(12):
+            base = np.unique(rng.integers(0, 2**63, n + n // 4 + 1).astype(np.uint64))
+            sets += [base[:n], base[: n + n // 4], np.sort(rng.permutation(base)[:n])]
+    sets = [np.array(s, np.uint64) for s in {tuple(s.tolist()) for s in sets}]
+    fps = [near_copies.fingerprint(s) for s in sets]
+    root, links = list(range(len(sets))), 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            small, large = sorted((len(a), len(b)))
+            most = small - (small == large)
+            both = len(np.intersect1d(a, b))
+            close = np.bitwise_count(fps[i] ^ fps[j]).sum() <= near_copies.RADIUS and 10 * most >= 8 * (small + large - most)
+            if 10 * both >= 8 * (len(a) + len(b) - both):
+                links += 1
+                assert close
+            if close:
+                x, y = root[i], root[j]
+                root = [min(x, y) if z in (x, y) else z for z in root]
+    assert links > 50 and len(set(root)) > 100
+    nodes = spark.createDataFrame([(i, len(s), f.view(np.int64).tolist()) for i, (s, f) in enumerate(zip(sets, fps))], "node long, size int, fp array<long>")
+    for tile in (near_copies.FP_TILE, 5):
+        got = {r["node"]: r["root"] for r in simhash.components(near_copies.candidates(nodes, 0.8, near_copies.RADIUS, tile)).collect()}
+        assert [got.get(i, i) for i in range(len(sets))] == root
