@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -70,6 +71,32 @@ def test_bpe_round_trip(docs):
         assert both[i]["ids"] == got[i]["ids"]
 
 
+def test_bpe_words_travel_squeezed(spark):
+    """One compressed row for each block and bucket, which holds each of its words once, and nothing but lengths and ids on the way back."""
+    r = random.Random(4)
+    some = ["".join(r.choice("abcdefghij") for _ in range(r.choice([2, 5, 9]))) for _ in range(1500)]
+    texts = [" ".join(r.choices(some, k=300)) for _ in range(60)] + ["", None, "<|endoftext|> a", "\u0378 b", "x" * 70_000 + " <|endoftext|>", "\U0001f600 z\n\n  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    tk = Tokenizer.from_file(tokenizer_path())
+    for block, bucket in ((20_000, 7_000), (1, 1 << 20), (1 << 30, 1 << 30)):
+        got = by_id(bpe.encode(df, tokenizer_path(), block_bytes=block, bucket_bytes=bucket, decoded_col="again"))
+        for i, t in enumerate(texts):
+            ids = tk.encode(t or "", add_special_tokens=False).ids
+            assert np.frombuffer(got[i]["ids"], "<u4").tolist() == ids and got[i]["again"] == tk.decode(ids, skip_special_tokens=False)
+    rows = pa.table({"odd": [False, False, True], "words": [["b", " a", "b"], [], ["a<|endoftext|>"]]})
+    again = pa.table({"odd": [True, False], "words": [["a<|endoftext|>"], [" a", "b", " a"]]})
+    words, at = bpe.block_words(rows, 5)
+    assert sorted(words.to_pylist()) == [" a", "a<|endoftext|>", "b"] and {w for w, k in zip(words.to_pylist(), at) if k % 2} == {"a<|endoftext|>"}
+    assert (np.diff(at) >= 0).all() and bpe.block_words(again, 5)[0].equals(words) and bpe.block_words(again, 5)[1].tolist() == at.tolist()
+    own = sorted({w.encode() for w in some})
+    sizes, data = np.array([len(w) for w in own]), np.frombuffer(b"".join(own), np.uint8)
+    packed = bpe.squeezed(sizes, data)
+    assert len(packed) < 0.5 * len(data)
+    for lengths, values, kind in ((sizes, data, "u1"), (np.array([0, 3, 0, 1]), np.array([5, 1 << 31, 7, 9], "<u4"), "<u4"), (np.zeros(0, int), np.zeros(0, "<u4"), "<u4"), (np.array([70_000]), np.arange(70_000, dtype="<u4"), "<u4")):
+        back = bpe.unsqueezed(bpe.squeezed(lengths, values), kind)
+        assert back[0].tolist() == lengths.tolist() and back[1].tolist() == values.tolist()
+
+
 def test_histogram_answers(spark):
     lengths = [0, 0, 3, 3, 5, 2000, 5000]
     sums = token_counts.suffix_sums(token_counts.length_histogram(spark.createDataFrame([(x,) for x in lengths], "n_tokens long"))).cache()
